@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # Java's \w is ASCII; letters, numbers and the underscore are what "word
 # character" means for Unicode text.
 WORD = r"[\p{L}\p{N}_]+"
-EDGE_SPACE = r"^\s+|\s+$"
+# All white space there is; the blocks above U+3000 hold none.
+SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 # Blocks searched for characters that NFKC never touches. None of them holds
 # combining marks that could join a preceding character.
@@ -86,7 +87,7 @@ def tokenize(text: str) -> list[str]:
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends (``trim`` knows only the blank)."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def unix_newlines(text: Column) -> Column:

@@ -99,7 +99,7 @@ def topk_single(
     )
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def vector_matrix(column: pa.Array) -> np.ndarray:
     """2-D view of an Arrow list column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -122,14 +122,14 @@ def _best_of_task(
         if batch.num_rows == 0:
             continue
         ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-        block = _matrix(batch.column("embedding"))
+        block = vector_matrix(batch.column("embedding"))
         if len(asked) and block.shape[1] != asked.shape[1]:
             raise ValueError(f"query width {asked.shape[1]} differs from index width {block.shape[1]}")
         offer_products(best, ids, block, asked, digits, allowed and allowed(batch))
     return best
 
 
-def _cut(hits: DataFrame, k: int) -> DataFrame:
+def best_per_question(hits: DataFrame, k: int) -> DataFrame:
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
@@ -148,7 +148,7 @@ def question_matrix(
         return None
     return (
         table.column("query_id").to_numpy(),
-        _matrix(table.column("embedding")).astype(np.float64),
+        vector_matrix(table.column("embedding")).astype(np.float64),
     )
 
 
@@ -173,11 +173,11 @@ def topk(
         questions = questions.withColumn("embedding", l2_normalize(F.col("embedding")))
     small = question_matrix(questions, max_bytes)
     if small is None:
-        return _cut(_grid_hits(vectors, questions, k, digits), k)
-    return _cut(_local_hits(vectors, small, k, digits), k)
+        return best_per_question(_grid_hits(vectors, questions, k, digits), k)
+    return best_per_question(local_hits(vectors, small, k, digits), k)
 
 
-def _local_hits(
+def local_hits(
     vectors: DataFrame, asked: tuple[np.ndarray, np.ndarray], k: int, digits: int, allowed=None
 ) -> DataFrame:
     shipped = vectors.sparkSession.sparkContext.broadcast(asked)

@@ -123,15 +123,18 @@ def quarantined(scanned: DataFrame) -> DataFrame:
     return scanned.filter("error IS NOT NULL").drop("text")
 
 
-def check_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
+def check_documents(
+    documents: DataFrame, text_col: str = "text", suffix_col: str | None = None
+) -> DataFrame:
     """The same split for a table: an ``error`` column naming what is wrong with a row."""
     text = F.col(text_col)
-    return documents.withColumn(
-        "error",
-        F.when(text.isNull(), "cannot be read").when(
-            ~F.is_valid_utf8(text) | text.contains("�"), "cannot be decoded"
-        ),
+    error = F.when(text.isNull(), "cannot be read").when(
+        ~F.is_valid_utf8(text) | text.contains("\ufffd"), "cannot be decoded"
     )
+    if suffix_col is not None:
+        readable_suffix = F.col(suffix_col).isin(*TEXT, *MARKDOWN, *HTML)
+        error = F.when(~readable_suffix, "unsupported format").otherwise(error)
+    return documents.withColumn("error", error)
 
 
 def tag_source(documents: DataFrame, source: Column) -> DataFrame:
