@@ -83,7 +83,8 @@ def _files_by_source(spark, folder) -> str:
     return root
 
 
-_SOURCE = F.regexp_extract("source_path", r"source=([^/]+)/", 1).alias("source")
+def _source():
+    return F.regexp_extract("source_path", r"source=([^/]+)/", 1).alias("source")
 
 
 @query(
@@ -93,7 +94,7 @@ _SOURCE = F.regexp_extract("source_path", r"source=([^/]+)/", 1).alias("source")
 )
 def file_listing(spark, folder):
     files = list_files(spark, _files_by_source(spark, folder))
-    return files.groupBy(_SOURCE, "suffix").agg(F.sum("size").alias("size"))
+    return files.groupBy(_source(), "suffix").agg(F.sum("size").alias("size"))
 
 
 @query(
@@ -105,7 +106,7 @@ def file_listing(spark, folder):
 def load_text(spark, folder):
     loaded = load_documents(spark, _files_by_source(spark, folder))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return loaded.groupBy(_SOURCE).agg(
+    return loaded.groupBy(_source()).agg(
         F.sum(F.length("text")).alias("n_chars"), F.sum(lines).alias("n_lines")
     )
 

@@ -1,7 +1,8 @@
-"""Expressions over ``array<float>`` columns."""
+"""Expressions over ``array<float>`` columns, and the same for blocks inside tasks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +30,8 @@ def l2_normalize(vector: Column) -> Column:
 def rounded(score: Column, digits: int = SCORE_DIGITS) -> Column:
     # Adding 0.0 turns a negative zero into a plain one.
     return F.round(score, digits) + F.lit(0.0)
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    return vectors / np.where(norms > 0, norms, 1.0)

@@ -51,4 +51,4 @@ def lsh_topk(
 
         return pairs
 
-    return best_per_question(local_hits(vectors, asked, k, digits, allowed), k)
+    return best_per_question(local_hits(vectors, asked, k, digits, allowed=allowed), k)

@@ -8,11 +8,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.topk import RunningTopK, offer_products
-from tarnsearch.functions.vectors import inner_product, l2_normalize, rounded
+from tarnsearch.functions.vectors import inner_product, l2_norm, rounded, unit_rows
 from tarnsearch.params import (
     BROADCAST_VECTOR_BYTES,
     K_DENSE,
@@ -88,12 +88,14 @@ def topk_single(
 ) -> DataFrame:
     """Best ``k`` vectors for one query vector; each task sorts out its own first."""
     positive("k_dense", k)
-    stored: Column = F.col("embedding")
+    stored = F.col("embedding")
     asked = F.array(*(F.lit(float(x)).cast("float") for x in query))
+    similarity = inner_product(stored, asked)
     if check_metric(metric) == "cosine":
-        stored, asked = l2_normalize(stored), l2_normalize(asked)
+        norms = l2_norm(stored) * l2_norm(asked)
+        similarity = F.when(norms > 0, similarity / norms).otherwise(0.0)
     return (
-        vectors.select("chunk_id", rounded(inner_product(stored, asked), digits).alias("score"))
+        vectors.select("chunk_id", rounded(similarity, digits).alias("score"))
         .orderBy(F.desc("score"), "chunk_id")
         .limit(k)
     )
@@ -115,7 +117,12 @@ def vector_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best_of_task(
-    asked: np.ndarray, k: int, digits: int, batches: Iterator[pa.RecordBatch], allowed=None
+    asked: np.ndarray,
+    k: int,
+    digits: int,
+    batches: Iterator[pa.RecordBatch],
+    unit: bool,
+    allowed=None,
 ) -> RunningTopK:
     best = RunningTopK(len(asked), k)
     for batch in batches:
@@ -125,7 +132,8 @@ def _best_of_task(
         block = vector_matrix(batch.column("embedding"))
         if len(asked) and block.shape[1] != asked.shape[1]:
             raise ValueError(f"query width {asked.shape[1]} differs from index width {block.shape[1]}")
-        offer_products(best, ids, block, asked, digits, allowed and allowed(batch))
+        stored = unit_rows(block) if unit else block
+        offer_products(best, ids, stored, asked, digits, allowed and allowed(batch))
     return best
 
 
@@ -168,29 +176,33 @@ def topk(
     bounded cells.
     """
     positive("k_dense", k)
-    if check_metric(metric) == "cosine":
-        vectors = vectors.withColumn("embedding", l2_normalize(F.col("embedding")))
-        questions = questions.withColumn("embedding", l2_normalize(F.col("embedding")))
+    unit = check_metric(metric) == "cosine"
     small = question_matrix(questions, max_bytes)
     if small is None:
-        return best_per_question(_grid_hits(vectors, questions, k, digits), k)
-    return best_per_question(local_hits(vectors, small, k, digits), k)
+        return best_per_question(_grid_hits(vectors, questions, k, digits, unit), k)
+    return best_per_question(local_hits(vectors, small, k, digits, unit), k)
 
 
 def local_hits(
-    vectors: DataFrame, asked: tuple[np.ndarray, np.ndarray], k: int, digits: int, allowed=None
+    vectors: DataFrame,
+    asked: tuple[np.ndarray, np.ndarray],
+    k: int,
+    digits: int,
+    unit: bool = False,
+    allowed=None,
 ) -> DataFrame:
+    """Every task's own best ``k`` per question; ``unit`` compares directions only."""
     shipped = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, asked = shipped.value[:2]
-        best = _best_of_task(asked, k, digits, batches, allowed)
+        query_ids, asked = shipped.value
+        best = _best_of_task(unit_rows(asked) if unit else asked, k, digits, batches, unit, allowed)
         yield pa.RecordBatch.from_arrays(
             [pa.array(query_ids[best.question]), pa.array(best.row_id), pa.array(best.score)],
             names=["query_id", "chunk_id", "score"],
         )
 
-    return vectors.mapInArrow(job, HITS)
+    return vectors.select("chunk_id", "embedding").mapInArrow(job, HITS)
 
 
 def _grid_hits(
@@ -198,6 +210,7 @@ def _grid_hits(
     questions: DataFrame,
     k: int,
     digits: int,
+    unit: bool = False,
     cell_vectors: int = CELL_VECTORS,
     cell_questions: int = CELL_QUESTIONS,
 ) -> DataFrame:
@@ -216,13 +229,11 @@ def _grid_hits(
     def cell(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         best = RunningTopK(len(asked), k)
         if len(stored) and len(asked):
-            offer_products(
-                best,
-                stored["chunk_id"].to_numpy(),
-                np.stack(stored["embedding"].to_numpy()),
-                np.stack(asked["embedding"].to_numpy()).astype(np.float64),
-                digits,
-            )
+            left = np.stack(stored["embedding"].to_numpy())
+            right = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+            if unit:
+                left, right = unit_rows(left), unit_rows(right)
+            offer_products(best, stored["chunk_id"].to_numpy(), left, right, digits)
         return pd.DataFrame(
             {
                 "query_id": asked["query_id"].to_numpy(dtype=np.int64)[best.question],

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tarnsearch.functions.text import tokenize
+from tarnsearch.functions.vectors import unit_rows
 from tarnsearch.params import EMBED_BATCH, positive
 
 Encode = Callable[[Sequence[str]], np.ndarray]
@@ -28,11 +29,6 @@ class Embedder:
     normalize: bool = True
 
 
-def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-    return vectors / np.where(norms > 0, norms, 1.0)
-
-
 def hash_embedder(dim: int = 256, normalize: bool = True) -> Embedder:
     """Deterministic stand-in for a model: term counts hashed into ``dim`` buckets."""
     positive("dim", dim)

@@ -18,7 +18,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     a file of one row group is otherwise one task, however many cores wait."""
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    # By content rather than in turn: the same rows go the same way in a retry, unsorted.
+    return table.repartition(cores, *table.columns) if len(table.inputFiles()) < cores else table
 
 
 def write_chunks(chunks: DataFrame, path: str, text_col: str = "text") -> None:
