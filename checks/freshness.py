@@ -113,7 +113,7 @@ def incremental_refresh(spark, folder):
     """Term statistics after a refresh; they must be those of an index built anew."""
     index = fixed_index(spark, documents(spark, folder), "refreshed")
     index = refresh_index(index, current_documents(spark, folder), EMBEDDER)
-    totals = bm25.corpus_totals(index.chunks, index.terms)
+    totals = bm25.corpus_totals(index.chunks, index.terms).first()
     return bm25.idf(index.terms, totals).withColumn("idf", rounded(F.col("idf")))
 
 

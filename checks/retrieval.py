@@ -62,18 +62,19 @@ def bm25_postings(spark, folder):
 @query(
     "bm25_totals",
     with_(CHUNKS, POSTINGS, IDF)
-    + "SELECT n AS n_chunks, n_tokens, round(avg_len, 6) AS avg_len FROM totals",
+    + """SELECT n AS n_chunks, n_tokens, round(avg_len, 6) AS avg_len,
+    (SELECT round(avg(raw), 6) FROM raw) AS mean_idf FROM totals""",
 )
 def bm25_totals(spark, folder):
     chunks = as_chunks(spark, folder)
     totals = bm25.corpus_totals(chunks, bm25.term_stats(bm25.postings(chunks)))
-    return totals.withColumn("avg_len", rounded(F.col("avg_len")))
+    return totals.withColumns({c: rounded(F.col(c)) for c in ("avg_len", "mean_idf")})
 
 
 def _statistics(chunks: DataFrame):
     counted = materialize(bm25.postings(chunks), "postings")
     terms = materialize(bm25.term_stats(counted), "terms")
-    return counted, terms, bm25.corpus_totals(chunks, terms)
+    return counted, terms, bm25.corpus_totals(chunks, terms).first()
 
 
 @query(

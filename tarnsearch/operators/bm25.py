@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,26 +86,31 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_totals(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row: number of chunks (those without tokens too), tokens, average length."""
-    n_chunks = chunks.agg(F.count("*").alias("n")).scalar()
-    return (
-        terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
-        .withColumn("n_chunks", n_chunks)
-        .select("n_chunks", "n_tokens", (F.col("n_tokens") / F.col("n_chunks")).alias("avg_len"))
-    )
+def _raw_idf(n_chunks: int) -> Column:
+    return F.ln(F.lit(n_chunks) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
 
-def idf(terms: DataFrame, totals: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
-    """Inverse document frequency; a negative one gives way to a share of the mean.
+def corpus_totals(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row about the corpus.
 
-    The mean is taken over the vocabulary and over the raw values.
+    ``n_chunks`` counts chunks without tokens too, ``mean_idf`` is taken over the
+    vocabulary before negative values are replaced.
     """
-    n = totals.select("n_chunks").scalar()
-    raw = terms.withColumn("raw", F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean")).scalar()
-    value = F.when(F.col("raw") < 0, mean * epsilon).otherwise(F.col("raw"))
-    return raw.select("term", "df", value.alias("idf"))
+    n_chunks = chunks.count()
+    n_tokens = F.coalesce(F.sum("cf"), F.lit(0))
+    return terms.agg(
+        F.lit(n_chunks).cast("bigint").alias("n_chunks"),
+        n_tokens.alias("n_tokens"),
+        F.try_divide(n_tokens, F.lit(n_chunks)).alias("avg_len"),
+        F.avg(_raw_idf(n_chunks)).alias("mean_idf"),
+    )
+
+
+def idf(terms: DataFrame, totals: Row, epsilon: float = BM25_EPSILON) -> DataFrame:
+    """Inverse document frequency; a negative one gives way to a share of the mean."""
+    raw = _raw_idf(totals["n_chunks"])
+    value = F.when(raw < 0, F.lit(totals["mean_idf"]) * epsilon).otherwise(raw)
+    return terms.select("term", "df", value.alias("idf"))
 
 
 def query_terms(
@@ -128,7 +133,7 @@ def score(
     postings: DataFrame,
     asked: DataFrame,
     terms: DataFrame,
-    totals: DataFrame,
+    totals: Row,
     k1: float = BM25_K1,
     b: float = BM25_B,
     epsilon: float = BM25_EPSILON,
@@ -136,14 +141,14 @@ def score(
 ) -> DataFrame:
     """Score of every (question, chunk) pair sharing a term.
 
+    ``totals`` is the row of ``corpus_totals``: statistics enter the plan as numbers.
     With few enough question terms they are broadcast: postings of other terms are
     dropped where they are read, the rest is shuffled by chunk before questions
     multiply it, and sums stay within their task. With more, both sides are shuffled
     by term, each term's postings spread over several salts.
     """
-    avg_len = totals.select("avg_len").scalar()
     values = idf(terms, totals, epsilon)
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("chunk_len") / avg_len)
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("chunk_len") / F.lit(totals["avg_len"]))
     impact = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
     if fits(asked, broadcast_rows):
         asked = F.broadcast(asked)
@@ -189,5 +194,5 @@ def search(
     """BM25 top-k straight from texts: the statistics are written once, then used."""
     counted = materialize(postings(chunks, id_col, text_col), "postings")
     terms = materialize(term_stats(counted), "terms")
-    totals = corpus_totals(chunks, terms)
+    totals = corpus_totals(chunks, terms).first()
     return topk(score(counted, query_terms(questions), terms, totals), k)

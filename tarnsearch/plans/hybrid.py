@@ -48,7 +48,7 @@ def retrieve(
     k_rrf: int = K_RRF,
 ) -> DataFrame:
     """Candidates per question ``(query_id, query)``: both searches, fused, with their text."""
-    totals = bm25.corpus_totals(corpus.chunks, corpus.terms)
+    totals = bm25.corpus_totals(corpus.chunks, corpus.terms).first()
     by_words = bm25.topk(
         bm25.score(corpus.postings, bm25.query_terms(questions), corpus.terms, totals), k_bm25
     )

@@ -1,0 +1,143 @@
+import numpy as np
+import pytest
+
+from tarnsearch.functions.topk import RunningTopK, round_half_up
+from tarnsearch.operators import dense
+from tarnsearch.operators.approximate import lsh_topk
+from tarnsearch.operators.embedding import Embedder, embed, hash_embedder
+
+VECTORS = "chunk_id long, embedding array<float>"
+ASKED = "query_id long, embedding array<float>"
+
+
+def rows(df):
+    return sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+
+
+@pytest.fixture
+def small(frame):
+    return frame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8])], VECTORS)
+
+
+def test_known_neighbours(frame, small):
+    asked = frame([(7, [1.0, 0.0])], ASKED)
+    assert rows(dense.topk(small, asked, 2)) == [(7, 1, 0, 1.0), (7, 2, 2, 0.6)]
+    # No padding beyond what is stored.
+    assert len(rows(dense.topk(small, asked, 5))) == 3
+    single = dense.topk_single(small, [1.0, 0.0], 2).collect()
+    assert [(r.chunk_id, r.score) for r in single] == [(0, 1.0), (2, 0.6)]
+
+
+def test_checks(frame, small):
+    with pytest.raises(ValueError):
+        dense.topk(small, frame([(7, [1.0, 0.0])], ASKED), 0)
+    with pytest.raises(ValueError):
+        dense.topk(small, frame([(7, [1.0, 0.0])], ASKED), metric="l2")
+    with pytest.raises(Exception, match="width"):
+        dense.topk(small, frame([(7, [1.0, 0.0, 2.0])], ASKED)).collect()
+
+
+def test_no_questions(frame, small):
+    assert dense.topk(small, frame([], ASKED)).count() == 0
+
+
+def reference_topk(stored, asked, k, unit=False):
+    if unit:
+        stored = stored / np.linalg.norm(stored, axis=1, keepdims=True)
+        asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    scores = np.round(stored.astype(float) @ asked.astype(float).T, 6)
+    result = []
+    for q in range(len(asked)):
+        order = sorted(range(len(stored)), key=lambda i: (-scores[i, q], i))[:k]
+        result += [(q, rank, i, pytest.approx(scores[i, q], abs=2e-6)) for rank, i in enumerate(order, 1)]
+    return result
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine"])
+@pytest.mark.parametrize("max_bytes", [10**8, 1])
+def test_many_copies(frame, metric, max_bytes):
+    """A third of the vectors are one and the same; shipped and gridded forms agree."""
+    rng = np.random.default_rng(3)
+    stored = rng.integers(-4, 5, size=(600, 4)).astype(np.float32)
+    stored[::3] = [4, 4, 4, 4]
+    stored[(stored == 0).all(axis=1)] = 1
+    asked = rng.integers(1, 5, size=(9, 4)).astype(np.float32)
+    vectors = frame([(i, v.tolist()) for i, v in enumerate(stored)], VECTORS).repartition(7)
+    questions = frame([(i, v.tolist()) for i, v in enumerate(asked)], ASKED)
+    got = rows(dense.topk(vectors, questions, 25, metric, max_bytes=max_bytes))
+    assert got == reference_topk(stored, asked, 25, metric == "cosine")
+
+
+def test_grid_of_many_cells(frame):
+    rng = np.random.default_rng(4)
+    stored, asked = rng.normal(size=(200, 3)).astype("f4"), rng.normal(size=(30, 3)).astype("f4")
+    vectors = frame([(i, v.tolist()) for i, v in enumerate(stored)], VECTORS)
+    questions = frame([(i, v.tolist()) for i, v in enumerate(asked)], ASKED)
+    hits = dense._grid_hits(vectors, questions, 6, 6, cell_vectors=50, cell_questions=10)
+    assert rows(dense.best_per_question(hits, 6)) == reference_topk(stored, asked, 6)
+
+
+def test_running_topk_keeps_small_ids_on_ties():
+    best = RunningTopK(1, 3)
+    for ids in ([9, 8, 7, 6], [5, 1], [4, 0, 3, 2]):
+        best.offer(0, np.array(ids), np.ones((len(ids), 1)))
+    assert best.row_id.tolist() == [0, 1, 2]
+
+
+def test_rounding():
+    assert round_half_up(np.array([0.0078125, -0.0078125]), 6).tolist() == [0.007813, -0.007813]
+
+
+def test_violations(frame):
+    df = frame(
+        [
+            (1, [1.0, 2.0]),
+            (1, [1.0, 2.0]),
+            (2, [1.0]),
+            (3, None),
+            (4, [1.0, None]),
+            (None, [1.0, 2.0]),
+            (5, [float("nan"), 1.0]),
+            (6, [0.0, 0.0]),
+        ],
+        VECTORS,
+    )
+    got = {(r.chunk_id, r.reason) for r in dense.vector_violations(df, 2).collect()}
+    assert got == {
+        (1, "duplicate id"),
+        (2, "wrong dimension"),
+        (3, "missing vector"),
+        (4, "missing element"),
+        (None, "missing id"),
+        (5, "missing element"),
+    }
+
+
+def test_append_refuses_a_known_id(frame, small):
+    assert dense.append_vectors(small, frame([(3, [1.0, 1.0])], VECTORS)).count() == 4
+    with pytest.raises(Exception, match="already stored: 2"):
+        dense.append_vectors(small, frame([(2, [1.0, 1.0])], VECTORS)).collect()
+
+
+def test_approximate_recall(frame):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    stored = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.1, size=(800, 16))
+    stored /= np.linalg.norm(stored, axis=1, keepdims=True)
+    asked = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = frame([(i, v.tolist()) for i, v in enumerate(stored)], VECTORS)
+    questions = frame([(i, v.tolist()) for i, v in enumerate(asked)], ASKED)
+    exact = {r[:1] + r[2:3] for r in rows(dense.topk(vectors, questions, 10))}
+    found = {r[:1] + r[2:3] for r in rows(lsh_topk(vectors, questions, 10, bucket_width=0.3, tables=8))}
+    assert len(exact & found) / len(exact) > 0.9
+
+
+def test_embedding_job(frame):
+    texts = frame([(i, t) for i, t in enumerate(["a b", "", "a a a", None])], "chunk_id long, text string")
+    got = {r.chunk_id: r.embedding for r in embed(texts, hash_embedder(8), batch_size=1).collect()}
+    assert [round(sum(x * x for x in got[i]), 5) for i in range(4)] == [1.0, 0.0, 1.0, 0.0]
+    raw = embed(texts, hash_embedder(8, normalize=False)).filter("chunk_id = 2").first()
+    assert max(raw.embedding) == 3.0
+    wrong = Embedder("wrong", 4, lambda: lambda batch: np.zeros((len(batch), 5)))
+    with pytest.raises(Exception, match="expected"):
+        embed(texts, wrong).collect()
