@@ -11,14 +11,18 @@ PATHS_PER_LINE = 1000
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: relative path, size, modification time, SHA-256."""
+    """Every file below ``root``: relative path, size, modification time, SHA-256.
+
+    Spark's file sources pass over files of no bytes at all.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
     # Listed paths may carry a scheme the given root lacks.
-    base = F.lit(root.split(":", 1)[-1].rstrip("/") + "/")
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    relative = F.substr(F.col("path"), F.instr(F.col("path"), base) + len(base))
     return files.select(
-        F.substring_index(F.col("path"), base, -1).alias("path"),
+        relative.alias("path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
         F.sha2("content", 256).alias("sha256"),

@@ -47,7 +47,8 @@ def list_files(
 ) -> DataFrame:
     """Files below ``root`` with one of the suffixes, any case (``None``: every file).
 
-    No file is opened. A missing root raises.
+    No file is opened. A missing root raises. Spark's file sources pass over files of
+    no bytes at all; they would give no chunk.
     """
     return _binary_files(spark, root, suffixes).select(
         F.col("path").alias("source_path"),
