@@ -29,8 +29,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# What tells the rows of a table apart.
+KEYS = {
+    "documents": "doc_id",
+    "benchmark": "item_id",
+    "embeddings": "vec_id",
+    "pages": "page_id",
+    "conversations": "conv_id",
+    "labels": "doc_id",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", KEYS[name])
 
 
 def path_of_document():

@@ -24,6 +24,7 @@ from tarnsearch.functions.text import tokens
 from tarnsearch.functions.vectors import rounded
 from tarnsearch.operators import bm25, dense, embedding, fusion
 from tarnsearch.plans.hybrid import index_in_place, retrieve
+from tarnsearch.params import TOPN
 from tarnsearch.plans.work import materialize
 
 _BM25 = with_(CHUNKS, QUESTIONS, POSTINGS, IDF, BM25, BM25_TOP)
@@ -162,9 +163,9 @@ def rrf_fuse(spark, folder):
     source_path AS source, text FROM by_words JOIN chunks USING (chunk_id) WHERE rank <= 40""",
 )
 def gather_candidates(spark, folder):
-    chunks = as_chunks(spark, folder)
-    fused = fusion.rrf_fuse([bm25.search(chunks, questions(spark, folder))])
-    found = fusion.gather_candidates(fused, chunks)
+    chunks, asked = as_chunks(spark, folder), questions(spark, folder)
+    fused = fusion.rrf_fuse([bm25.search(chunks, asked)])
+    found = fusion.gather_candidates(fused, chunks, at_most=asked.count() * TOPN)
     return found.withColumn("rrf_score", F.round("rrf_score", 9))
 
 

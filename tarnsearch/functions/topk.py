@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 # Cells of one score block (rows x questions) held at a time.
-_BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 4_000_000
 
 
 def round_half_up(values: np.ndarray, digits: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def offer_products(
     ``allowed(row_slice, question_slice)`` may give a mask of pairs to consider.
     """
     width = min(len(questions), 4096) or 1
-    height = max(1, _BLOCK_CELLS // width)
+    height = max(1, BLOCK_CELLS // width)
     for r in range(0, len(ids), height):
         rows = slice(r, r + height)
         block = vectors[rows].astype(np.float64)

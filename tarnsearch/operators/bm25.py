@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnsearch.functions.text import tokenize, words
+from tarnsearch.functions.topk import BLOCK_CELLS, RunningTopK, round_half_up
 from tarnsearch.functions.vectors import rounded
 from tarnsearch.params import (
     BM25_B,
@@ -129,6 +131,12 @@ def term_weights(asked: DataFrame, idf: DataFrame) -> DataFrame:
     )
 
 
+def _impact(totals: Row, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """What a posting contributes per unit of weight."""
+    length = F.col("chunk_len") / F.lit(totals["avg_len"])
+    return F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length))
+
+
 def score(
     postings: DataFrame,
     asked: DataFrame,
@@ -148,8 +156,7 @@ def score(
     by term, each term's postings spread over several salts.
     """
     values = idf(terms, totals, epsilon)
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("chunk_len") / F.lit(totals["avg_len"]))
-    impact = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
+    impact = _impact(totals, k1, b)
     if fits(asked, broadcast_rows):
         asked = F.broadcast(asked)
         used = F.broadcast(asked.select("term").distinct())
@@ -175,13 +182,127 @@ def score(
 def topk(scores: DataFrame, k: int = K_BM25, digits: int = SCORE_DIGITS) -> DataFrame:
     """Best ``k`` chunks per question among those scoring above zero."""
     positive("k_bm25", k)
+    hits = scores.filter("score > 0").withColumn("score", rounded(F.col("score"), digits))
+    return _cut(hits, k)
+
+
+def _cut(hits: DataFrame, k: int) -> DataFrame:
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (
-        scores.filter("score > 0")
-        .withColumn("score", rounded(F.col("score"), digits))
-        .withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+
+
+class _QuestionWeights:
+    """Weights by term: which questions use it and how much each use counts."""
+
+    def __init__(self, table: pa.Table):
+        terms = table.column("term").combine_chunks().dictionary_encode()
+        self.terms = terms.dictionary
+        term_no = terms.indices.to_numpy()
+        order = np.argsort(term_no, kind="stable")
+        self.query_ids, question = np.unique(
+            table.column("query_id").to_numpy(), return_inverse=True
+        )
+        self.question = question[order]
+        self.weight = table.column("weight").to_numpy()[order]
+        self.start = np.searchsorted(term_no[order], np.arange(len(self.terms) + 1))
+
+    def scores(self, chunk_ids: np.ndarray, term_no: np.ndarray, impact: np.ndarray):
+        """(ids, rows x questions) of whole chunks, given all their postings."""
+        ids, row = np.unique(chunk_ids, return_inverse=True)
+        scores = np.zeros((len(ids), len(self.query_ids)))
+        order = np.argsort(term_no, kind="stable")
+        term_no, row, impact = term_no[order], row[order], impact[order]
+        bounds = np.flatnonzero(np.diff(term_no, prepend=-1))
+        for first, last in zip(bounds, [*bounds[1:], len(term_no)]):
+            uses = slice(self.start[term_no[first]], self.start[term_no[first] + 1])
+            # A term has one posting per chunk, so no cell is named twice.
+            cells = np.ix_(row[first:last], self.question[uses])
+            scores[cells] += np.outer(impact[first:last], self.weight[uses])
+        return ids, scores
+
+
+def _whole_chunks(
+    batches: Iterator[pa.RecordBatch], max_chunks: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Regroup postings sorted by chunk so that none is split; about ``max_chunks`` at a time."""
+    held: list[pa.RecordBatch] = []
+    n_held = 0
+
+    def columns(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts)
+        return tuple(table.column(c).to_numpy() for c in ("chunk_id", "term_no", "impact"))
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = batch.column(0).to_numpy()
+        held.append(batch)
+        n_held += 1 + np.count_nonzero(np.diff(ids))
+        if n_held < max_chunks:
+            continue
+        # The last chunk may go on in the next batch.
+        last = int(np.searchsorted(ids, ids[-1]))
+        if last == 0:
+            continue
+        yield columns([*held[:-1], batch.slice(0, last)])
+        held, n_held = [batch.slice(last)], 1
+    if held:
+        yield columns(held)
+
+
+def best_chunks(
+    postings: DataFrame,
+    asked: DataFrame,
+    terms: DataFrame,
+    totals: Row,
+    k: int = K_BM25,
+    digits: int = SCORE_DIGITS,
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``topk(score(..))`` without a row per (question, chunk) pair.
+
+    Frequent words make nearly every pair score. Here the postings of asked terms are
+    brought together by chunk, and each task adds up a block of chunks against all
+    questions in place and emits its own best ``k`` per question. The question side is
+    shipped to the tasks, up to ``max_rows`` (question, term) rows; beyond that the pairs
+    are joined and summed as rows.
+    """
+    positive("k_bm25", k)
+    spark = postings.sparkSession
+    uses = asked.limit(max_rows + 1).toArrow()
+    if uses.num_rows > max_rows:
+        return topk(score(postings, asked, terms, totals, broadcast_rows=max_rows), k, digits)
+    known = F.broadcast(spark.createDataFrame(uses))
+    lookup = _QuestionWeights(term_weights(known, idf(terms, totals)).toArrow())
+    numbered = pa.table(
+        {"term": lookup.terms, "term_no": pa.array(np.arange(len(lookup.terms)), pa.int32())}
+    )
+    shipped = spark.sparkContext.broadcast(lookup)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = shipped.value
+        best = RunningTopK(len(lookup.query_ids), k)
+        max_chunks = max(1, BLOCK_CELLS // max(1, len(lookup.query_ids)))
+        for block in _whole_chunks(batches, max_chunks):
+            ids, scores = lookup.scores(*block)
+            best.offer(0, ids, np.where(scores > 0, round_half_up(scores, digits), -np.inf))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(lookup.query_ids[best.question]),
+                pa.array(best.row_id),
+                pa.array(best.score),
+            ],
+            names=["query_id", "chunk_id", "score"],
+        )
+
+    hits = (
+        postings.join(F.broadcast(spark.createDataFrame(numbered)), "term")
+        .select("chunk_id", "term_no", _impact(totals).alias("impact"))
+        .repartition("chunk_id")
+        .sortWithinPartitions("chunk_id")
+        .mapInArrow(job, "query_id BIGINT, chunk_id BIGINT, score DOUBLE")
     )
+    return _cut(hits, k)
 
 
 def search(
@@ -195,4 +316,4 @@ def search(
     counted = materialize(postings(chunks, id_col, text_col), "postings")
     terms = materialize(term_stats(counted), "terms")
     totals = corpus_totals(chunks, terms).first()
-    return topk(score(counted, query_terms(questions), terms, totals), k)
+    return best_chunks(counted, query_terms(questions), terms, totals, k)

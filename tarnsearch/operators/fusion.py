@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnsearch.params import K_RRF, TOPN, positive
+from tarnsearch.params import BROADCAST_ROWS, K_RRF, TOPN, positive
 
 # Fused scores are cut here before they are compared; two different sums of a few
 # reciprocals are much further apart than that.
@@ -51,15 +51,18 @@ def rrf_fuse(rankings: Sequence[DataFrame], k_rrf: int = K_RRF, topn: int = TOPN
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= topn)
 
 
-def gather_candidates(fused: DataFrame, chunks: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def gather_candidates(
+    fused: DataFrame, chunks: DataFrame, carry: Sequence[str] = (), at_most: int | None = None
+) -> DataFrame:
     """Text and source of the fused ids, fetched last and only for those.
 
-    A bounded number of rows per question meets the chunk table, so the chunks are
-    filtered where they are read whenever Spark finds the other side small.
+    ``at_most`` is how many rows ``fused`` can have, where the caller knows (questions
+    times ``topn``). Few enough are shipped to the chunks, which then stay where they are
+    read; otherwise both sides are shuffled.
     """
-    wanted = chunks.select(
-        "chunk_id", F.col("source_path").alias("source"), "text", *carry
-    )
-    return fused.join(wanted, "chunk_id").select(
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        fused = F.broadcast(fused)
+    wanted = chunks.select("chunk_id", F.col("source_path").alias("source"), "text", *carry)
+    return wanted.join(fused, "chunk_id").select(
         "query_id", "chunk_id", "rank", "rrf_score", "source", "text", *carry
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
-    # Listed paths may carry a scheme the given root lacks.
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    # Listed paths may carry a scheme and host the given root lacks.
+    folder = urlparse(root).path
+    if not folder.startswith("/"):
+        raise ValueError(f"root must be an absolute path, got {root!r}")
+    base = folder.rstrip("/") + "/"
     relative = F.substr(F.col("path"), F.instr(F.col("path"), base) + len(base))
     return files.select(
         relative.alias("path"),

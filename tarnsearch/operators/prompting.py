@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tarnsearch.functions.text import strip
 from tarnsearch.params import MAX_CONTEXT_CHARS, positive
+from tarnsearch.plans.work import spread
 
 Generate = Callable[[Sequence[Sequence[dict]]], Sequence[str]]
 
@@ -109,7 +110,7 @@ def generate(
             )
 
     schema = T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())])
-    return prompts.mapInArrow(job, schema)
+    return spread(prompts, "query_id").mapInArrow(job, schema)
 
 
 def assemble_answers(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tarnsearch.functions.text import tokens
 from tarnsearch.functions.vectors import rounded
 from tarnsearch.params import K_FINAL, PAIR_BATCH, SCORE_DIGITS, positive
+from tarnsearch.plans.work import spread
 
 ScorePairs = Callable[[Sequence[tuple[str, str]]], np.ndarray]
 
@@ -41,12 +42,15 @@ def score_pairs(
             )
 
     schema = T.StructType([*candidates.schema.fields, T.StructField("score", T.DoubleType())])
-    return candidates.mapInArrow(job, schema)
+    return spread(candidates, "query_id", "chunk_id").mapInArrow(job, schema)
 
 
-def overlap_score(query: Column, text: Column) -> Column:
+def distinct_terms(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def overlap_score(asked: Column, text: Column) -> Column:
     """Stand-in for a model: share of the question's distinct terms found in the chunk."""
-    asked = F.array_distinct(tokens(query))
     shared = F.size(F.array_intersect(asked, tokens(text)))
     return F.when(F.size(asked) > 0, shared / F.size(asked)).otherwise(0.0)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnsearch.operators import bm25, dense, fusion
 from tarnsearch.operators.embedding import Embedder, embed
-from tarnsearch.operators.rerank import overlap_score, rerank_topk
+from tarnsearch.operators.rerank import distinct_terms, overlap_score, rerank_topk
 from tarnsearch.params import K_BM25, K_DENSE, K_FINAL, K_RRF, TOPN
-from tarnsearch.plans.work import materialize
+from tarnsearch.plans.work import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -49,17 +50,18 @@ def retrieve(
 ) -> DataFrame:
     """Candidates per question ``(query_id, query)``: both searches, fused, with their text."""
     totals = bm25.corpus_totals(corpus.chunks, corpus.terms).first()
-    by_words = bm25.topk(
-        bm25.score(corpus.postings, bm25.query_terms(questions), corpus.terms, totals), k_bm25
+    by_words = bm25.best_chunks(
+        corpus.postings, bm25.query_terms(questions), corpus.terms, totals, k_bm25
     )
     asked = embed(questions, corpus.embedder, id_col="query_id", text_col="query")
     by_vectors = dense.topk(corpus.vectors, asked, k_dense, corpus.metric)
     fused = fusion.rrf_fuse([by_words, by_vectors], k_rrf, topn)
-    return fusion.gather_candidates(fused, corpus.chunks)
+    return fusion.gather_candidates(fused, corpus.chunks, at_most=questions.count() * topn)
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, k_final: int = K_FINAL) -> DataFrame:
     """Candidates reordered by the stand-in pair score."""
-    pairs = candidates.join(questions.select("query_id", "query"), "query_id")
-    scored = pairs.withColumn("score", overlap_score(pairs["query"], pairs["text"]))
-    return rerank_topk(scored, k_final)
+    asked = questions.select("query_id", "query", distinct_terms(F.col("query")).alias("asked"))
+    pairs = spread(candidates.join(asked, "query_id"), "query_id", "chunk_id")
+    scored = pairs.withColumn("score", overlap_score(F.col("asked"), F.col("text")))
+    return rerank_topk(scored.drop("asked"), k_final)

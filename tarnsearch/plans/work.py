@@ -15,6 +15,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out over all cores before costly work on each of them.
+
+    The number is given, because small rows would otherwise be gathered into few tasks.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

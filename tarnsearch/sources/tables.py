@@ -13,13 +13,12 @@ CHUNK_LINE = "page_content STRING, metadata MAP<STRING, STRING>"
 MANIFEST = "path STRING, size BIGINT, modified TIMESTAMP, sha256 STRING"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. With fewer files than cores its rows are dealt out over them:
-    a file of one row group is otherwise one task, however many cores wait."""
+def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet table. With fewer files than cores its rows are dealt out over them by
+    ``key``: a file of one row group is otherwise one task, however many cores wait."""
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    # By content rather than in turn: the same rows go the same way in a retry, unsorted.
-    return table.repartition(cores, *table.columns) if len(table.inputFiles()) < cores else table
+    return table.repartition(cores, key) if len(table.inputFiles()) < cores else table
 
 
 def write_chunks(chunks: DataFrame, path: str, text_col: str = "text") -> None:

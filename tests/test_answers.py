@@ -8,7 +8,7 @@ from tarnsearch.operators.prompting import (
     pack_context,
     sources_report,
 )
-from tarnsearch.operators.rerank import overlap_score, rerank_topk, score_pairs
+from tarnsearch.operators.rerank import distinct_terms, overlap_score, rerank_topk, score_pairs
 
 RANKED = "query_id long, chunk_id long, rank int, source string, text string, score double"
 
@@ -76,7 +76,7 @@ PAIRS = "query_id long, chunk_id long, query string, text string"
 
 def test_overlap(frame):
     df = frame([(0, 1, "The cat THE dog", "a dog, the end"), (0, 2, "??", "x")], PAIRS)
-    got = df.select(overlap_score(F.col("query"), F.col("text")).alias("s")).collect()
+    got = df.select(overlap_score(distinct_terms(F.col("query")), F.col("text")).alias("s")).collect()
     assert [r.s for r in got] == [pytest.approx(2 / 3), 0.0]
 
 

@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnsearch.functions.text import tokenize
@@ -92,6 +94,25 @@ def test_topk_cuts_and_breaks_ties_by_chunk(frame):
         bm25.topk(hits, 0)
 
 
+@pytest.mark.parametrize("max_rows", [1000, 3])
+def test_both_ways_to_the_best(tables, max_rows):
+    _, questions, counted, terms, totals = tables
+    asked = bm25.query_terms(questions)
+    by_rows = bm25.topk(bm25.score(counted, asked, terms, totals), 3)
+    in_place = bm25.best_chunks(counted, asked, terms, totals, 3, max_rows=max_rows)
+    assert sorted(in_place.select(by_rows.columns).collect()) == sorted(by_rows.collect())
+
+
+def test_chunks_are_never_split():
+    ids = np.repeat(np.arange(50), np.arange(50) % 7 + 1)
+    source = pa.table({"chunk_id": ids, "term_no": np.arange(len(ids)), "impact": ids * 0.5})
+    for rows, max_chunks in [(1, 1), (3, 2), (10, 100), (1000, 5)]:
+        blocks = list(bm25._whole_chunks(iter(source.to_batches(rows)), max_chunks))
+        assert np.concatenate([b[1] for b in blocks]).tolist() == list(range(len(ids)))
+        seen = [set(b[0]) for b in blocks]
+        assert sum(map(len, seen)) == len(set().union(*seen)) == 50
+
+
 def test_search_with_a_hot_term(frame):
     """A third of all postings belong to one term."""
     chunks = [(i, "hot " * 5 + f"w{i} w{i % 7}") for i in range(300)]

@@ -79,6 +79,6 @@ def test_chunk_lines(spark, frame):
 def test_small_tables_use_all_cores(spark, frame):
     path = work_folder(spark, "one-file")
     frame([(i, [float(i)]) for i in range(1000)], "id long, v array<double>").coalesce(1).write.parquet(path)
-    table = read_table(spark, path)
+    table = read_table(spark, path, "id")
     assert table.count() == 1000
     assert table.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
