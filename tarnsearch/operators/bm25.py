@@ -222,11 +222,11 @@ class _QuestionWeights:
 
 
 def _whole_chunks(
-    batches: Iterator[pa.RecordBatch], max_chunks: int
+    batches: Iterator[pa.RecordBatch], max_chunks: int, max_postings: int = 4_000_000
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Regroup postings sorted by chunk so that none is split; about ``max_chunks`` at a time."""
+    """Regroup postings sorted by chunk so that no chunk is split, about so many at a time."""
     held: list[pa.RecordBatch] = []
-    n_held = 0
+    n_held = n_rows = 0
 
     def columns(parts: list[pa.RecordBatch]):
         table = pa.Table.from_batches(parts)
@@ -238,14 +238,15 @@ def _whole_chunks(
         ids = batch.column(0).to_numpy()
         held.append(batch)
         n_held += 1 + np.count_nonzero(np.diff(ids))
-        if n_held < max_chunks:
+        n_rows += batch.num_rows
+        if n_held < max_chunks and n_rows < max_postings:
             continue
         # The last chunk may go on in the next batch.
         last = int(np.searchsorted(ids, ids[-1]))
         if last == 0:
             continue
         yield columns([*held[:-1], batch.slice(0, last)])
-        held, n_held = [batch.slice(last)], 1
+        held, n_held, n_rows = [batch.slice(last)], 1, batch.num_rows - last
     if held:
         yield columns(held)
 
@@ -285,13 +286,10 @@ def best_chunks(
         max_chunks = max(1, BLOCK_CELLS // max(1, len(lookup.query_ids)))
         for block in _whole_chunks(batches, max_chunks):
             ids, scores = lookup.scores(*block)
-            best.offer(0, ids, np.where(scores > 0, round_half_up(scores, digits), -np.inf))
+            best.offer(ids, np.where(scores > 0, round_half_up(scores, digits), -np.inf))
+        question, row_id, score = best.finish()
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(lookup.query_ids[best.question]),
-                pa.array(best.row_id),
-                pa.array(best.score),
-            ],
+            [pa.array(lookup.query_ids[question]), pa.array(row_id), pa.array(score)],
             names=["query_id", "chunk_id", "score"],
         )
 

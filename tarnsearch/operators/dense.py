@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnsearch.functions.topk import RunningTopK, offer_products
+from tarnsearch.functions.topk import ProductTopK
 from tarnsearch.functions.vectors import inner_product, l2_norm, rounded, unit_rows
 from tarnsearch.params import (
     BROADCAST_VECTOR_BYTES,
@@ -123,8 +123,8 @@ def _best_of_task(
     batches: Iterator[pa.RecordBatch],
     unit: bool,
     allowed=None,
-) -> RunningTopK:
-    best = RunningTopK(len(asked), k)
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    best = ProductTopK(unit_rows(asked) if unit else asked, k, digits)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -132,9 +132,8 @@ def _best_of_task(
         block = vector_matrix(batch.column("embedding"))
         if len(asked) and block.shape[1] != asked.shape[1]:
             raise ValueError(f"query width {asked.shape[1]} differs from index width {block.shape[1]}")
-        stored = unit_rows(block) if unit else block
-        offer_products(best, ids, stored, asked, digits, allowed and allowed(batch))
-    return best
+        best.offer(ids, unit_rows(block) if unit else block, allowed and allowed(batch))
+    return best.finish()
 
 
 def best_per_question(hits: DataFrame, k: int) -> DataFrame:
@@ -196,9 +195,9 @@ def local_hits(
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, asked = shipped.value
-        best = _best_of_task(unit_rows(asked) if unit else asked, k, digits, batches, unit, allowed)
+        question, row_id, score = _best_of_task(asked, k, digits, batches, unit, allowed)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best.question]), pa.array(best.row_id), pa.array(best.score)],
+            [pa.array(query_ids[question]), pa.array(row_id), pa.array(score)],
             names=["query_id", "chunk_id", "score"],
         )
 
@@ -227,20 +226,15 @@ def _grid_hits(
     right = spread(questions.select("query_id", "embedding"), "query_id", "col", cols, "row", rows)
 
     def cell(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        best = RunningTopK(len(asked), k)
-        if len(stored) and len(asked):
+        empty = not len(stored) or not len(asked)
+        right = np.empty((0, 0)) if empty else np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+        best = ProductTopK(unit_rows(right) if unit else right, k, digits)
+        if not empty:
             left = np.stack(stored["embedding"].to_numpy())
-            right = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-            if unit:
-                left, right = unit_rows(left), unit_rows(right)
-            offer_products(best, stored["chunk_id"].to_numpy(), left, right, digits)
-        return pd.DataFrame(
-            {
-                "query_id": asked["query_id"].to_numpy(dtype=np.int64)[best.question],
-                "chunk_id": best.row_id,
-                "score": best.score,
-            }
-        )
+            best.offer(stored["chunk_id"].to_numpy(), unit_rows(left) if unit else left)
+        question, row_id, score = best.finish()
+        ids = asked["query_id"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({"query_id": ids[question], "chunk_id": row_id, "score": score})
 
     return (
         left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(cell, HITS)

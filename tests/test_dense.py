@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tarnsearch.functions.topk import RunningTopK, round_half_up
+from tarnsearch.functions.topk import ProductTopK, RunningTopK, round_half_up
 from tarnsearch.operators import dense
 from tarnsearch.operators.approximate import lsh_topk
 from tarnsearch.operators.embedding import Embedder, embed, hash_embedder
@@ -80,8 +80,22 @@ def test_grid_of_many_cells(frame):
 def test_running_topk_keeps_small_ids_on_ties():
     best = RunningTopK(1, 3)
     for ids in ([9, 8, 7, 6], [5, 1], [4, 0, 3, 2]):
-        best.offer(0, np.array(ids), np.ones((len(ids), 1)))
-    assert best.row_id.tolist() == [0, 1, 2]
+        best.offer(np.array(ids), np.ones((len(ids), 1)))
+    assert best.finish()[1].tolist() == [0, 1, 2]
+
+
+def test_questions_in_several_slices(monkeypatch):
+    monkeypatch.setattr("tarnsearch.functions.topk.QUESTIONS_AT_A_TIME", 4)
+    monkeypatch.setattr("tarnsearch.functions.topk.BLOCK_CELLS", 40)
+    rng = np.random.default_rng(6)
+    stored, asked = rng.integers(-2, 3, size=(300, 3)), rng.integers(-2, 3, size=(11, 3))
+    best = ProductTopK(asked.astype(float), 7, 6)
+    ids = rng.permutation(300)
+    for part in np.array_split(ids, 9):
+        best.offer(part, stored[part])
+    got = sorted(zip(*(column.tolist() for column in best.finish())))
+    expected = [(q, i, s) for q, _, i, s in reference_topk(stored, asked, 7)]
+    assert got == sorted((q, i, float(stored[i] @ asked[q])) for q, i, _ in expected)
 
 
 def test_rounding():
