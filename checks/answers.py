@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, questions
+from checks.registry import EMBEDDER, as_chunks, query, questions
 from checks.retrieval import HYBRID, hybrid
 from checks.sql import PIECES, RERANKED
 from tarnsearch.operators.prompting import (
@@ -15,7 +15,8 @@ from tarnsearch.operators.prompting import (
     sources_report,
 )
 from tarnsearch.operators.rerank import score_pairs
-from tarnsearch.plans.hybrid import rerank
+from tarnsearch.plans.answer import ask
+from tarnsearch.plans.hybrid import index_in_place, rerank
 
 _RANKED = HYBRID.rstrip() + "," + RERANKED.strip() + "\n"
 _PACKED = HYBRID.rstrip() + "," + RERANKED.strip() + "," + PIECES.strip() + "\n"
@@ -129,6 +130,24 @@ def answer_assembly(spark, folder):
     )
 
 
+@query(
+    "batch_ask",
+    _PROMPTS
+    + """SELECT query_id, query, CAST(length(user_message) AS VARCHAR) AS answer,
+    CAST((SELECT count(*) FROM reranked r WHERE r.query_id = prompts.query_id) AS INTEGER) AS n_contexts
+    FROM prompts JOIN questions USING (query_id)""",
+)
+def batch_ask(spark, folder):
+    """The whole flow, with a model that measures its prompt."""
+
+    def load():
+        return lambda conversations: [str(len(messages[-1]["content"])) for messages in conversations]
+
+    corpus = index_in_place(as_chunks(spark, folder), EMBEDDER)
+    answered = ask(corpus, questions(spark, folder), load, SYSTEM)
+    return answered.select("query_id", "query", "answer", F.size("contexts").alias("n_contexts"))
+
+
 @query(
     "sources_report",
     _RANKED + "SELECT query_id, CAST(rank AS INTEGER) AS rank, source, chunk_id, score FROM reranked",

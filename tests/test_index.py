@@ -2,6 +2,7 @@ import pytest
 
 from tarnsearch.operators import bm25
 from tarnsearch.operators.embedding import hash_embedder
+from tarnsearch.plans.answer import ask
 from tarnsearch.plans.hybrid import index_in_place, rerank, retrieve
 from tarnsearch.plans.index import build_index, make_settings, open_index, refresh_index
 from tarnsearch.plans.work import work_folder
@@ -95,6 +96,40 @@ def test_retrieval_from_stored_and_loose_tables(spark, frame, settings):
     assert max(r.rank for r in top) == 2
 
 
+def test_no_questions_and_no_documents(spark, frame, settings):
+    nothing = frame([], DOC)
+    questions = frame(QUESTIONS, "query_id long, query string")
+    index = build_index(nothing, work_folder(spark, "test-index"), EMBEDDER, settings)
+    assert retrieve(index.corpus(EMBEDDER), questions).count() == 0
+    index = refresh_index(index, frame(BEFORE, DOC), EMBEDDER)
+    assert retrieve(index.corpus(EMBEDDER), questions.limit(0)).count() == 0
+    rebuilt = build_index(frame(BEFORE, DOC), work_folder(spark, "test-index"), EMBEDDER, settings)
+    assert content(index) == content(rebuilt)
+    assert content(refresh_index(index, nothing, EMBEDDER)) == {
+        name: [] for name in ("chunks", "vectors", "postings", "terms", "manifest", "stats")
+    }
+
+
+def test_ask_with_models(spark, frame, settings):
+    index = build_index(frame(BEFORE, DOC), work_folder(spark, "test-index"), EMBEDDER, settings)
+    questions = frame(QUESTIONS, "query_id long, query string")
+
+    def load_model():
+        return lambda batch: [m[1]["content"].split("QUESTION:\n")[1].upper() for m in batch]
+
+    def load_scorer():
+        return lambda pairs: [-len(text) for _, text in pairs]
+
+    rows = ask(
+        index.corpus(EMBEDDER), questions, load_model, "sys", load_scorer, k_final=3, model_id="m"
+    ).collect()
+    assert {(r.query_id, r.answer) for r in rows} == {(q, text.upper()) for q, text in QUESTIONS}
+    for row in rows:
+        assert [c.rank for c in row.contexts] == [1, 2, 3]
+        scores = [c.score for c in row.contexts]
+        assert scores == sorted(scores, reverse=True) == [-len(c.text) for c in row.contexts]
+
+
 def test_streams_equal_batch(spark, frame, settings):
     root, source = work_folder(spark, "test-index"), work_folder(spark, "incoming")
     checkpoint = work_folder(spark, "checkpoint")
