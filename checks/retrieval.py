@@ -83,7 +83,9 @@ def _statistics(chunks: DataFrame):
     with_(CHUNKS, POSTINGS, IDF) + "SELECT term, df, round(idf, 6) AS idf FROM idf",
 )
 def bm25_idf(spark, folder):
-    _, terms, totals = _statistics(as_chunks(spark, folder))
+    chunks = as_chunks(spark, folder)
+    terms = materialize(bm25.term_stats(bm25.postings(chunks)), "terms")
+    totals = bm25.corpus_totals(chunks, terms).first()
     return bm25.idf(terms, totals).withColumn("idf", rounded(F.col("idf")))
 
 

@@ -142,13 +142,13 @@ def best_per_question(hits: DataFrame, k: int) -> DataFrame:
 
 
 def question_matrix(
-    questions: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES
+    questions: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES, dim: int | None = None
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids and vectors of the questions, or None if they exceed ``max_bytes``."""
-    width = questions.select(F.size("embedding")).head()
-    if width is None:
-        return np.empty(0, dtype=np.int64), np.empty((0, 0))
-    limit = max(1, max_bytes // (8 * max(1, width[0])))
+    if dim is None:
+        first = questions.select(F.size("embedding")).head()
+        dim = first[0] if first else 1
+    limit = max(1, max_bytes // (8 * max(1, dim)))
     # One row beyond the limit is enough to know that there are too many.
     table = questions.select("query_id", "embedding").limit(limit + 1).toArrow()
     if table.num_rows > limit:
@@ -166,17 +166,18 @@ def topk(
     metric: str = "ip",
     digits: int = SCORE_DIGITS,
     max_bytes: int = BROADCAST_VECTOR_BYTES,
+    dim: int | None = None,
 ) -> DataFrame:
     """Exact best ``k`` vectors for each question ``(query_id, embedding)``.
 
     Pairs are scored as matrix blocks inside the tasks and never become rows: a
     task emits only its own best ``k`` per question. Questions are shipped to every
     task while they are few; otherwise vectors and questions meet in a grid of
-    bounded cells.
+    bounded cells. ``dim`` saves a look at the questions where the caller knows it.
     """
     positive("k_dense", k)
     unit = check_metric(metric) == "cosine"
-    small = question_matrix(questions, max_bytes)
+    small = question_matrix(questions, max_bytes, dim)
     if small is None:
         return best_per_question(_grid_hits(vectors, questions, k, digits, unit), k)
     return best_per_question(local_hits(vectors, small, k, digits, unit), k)

@@ -54,7 +54,9 @@ def retrieve(
         corpus.postings, bm25.query_terms(questions), corpus.terms, totals, k_bm25
     )
     asked = embed(questions, corpus.embedder, id_col="query_id", text_col="query")
-    by_vectors = dense.topk(corpus.vectors, asked, k_dense, corpus.metric)
+    by_vectors = dense.topk(
+        corpus.vectors, asked, k_dense, corpus.metric, dim=corpus.embedder.dim
+    )
     fused = fusion.rrf_fuse([by_words, by_vectors], k_rrf, topn)
     return fusion.gather_candidates(fused, corpus.chunks, at_most=questions.count() * topn)
 
