@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tarnsearch-")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where nothing is named and everything runs on this machine, as in tests, is it
+    a folder of our own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="tarnsearch-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/tarnsearch/{label}-{uuid.uuid4().hex}"
 
 
