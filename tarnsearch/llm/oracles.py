@@ -1,3 +1,115 @@
 """SQL that the queries must agree with."""
 
+from tarnsearch.llm.licenses import LicenseScan
+
 ORACLES: dict[str, str] = {}
+
+SPACED = r"[^\x20\x09-\x0D]+"
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+ORACLES["op1_decontamination"] = f"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all({_lower('text')}, '{PLAIN}') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all({_lower('text')}, '{PLAIN}') AS w FROM benchmark),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM doc_words, unnest(generate_series(1, len(w) - 4)) AS t(i)),
+item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM item_words, unnest(generate_series(1, len(w) - 4)) AS t(i)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+shared AS (
+  SELECT doc_id, item_id, count(*) AS n_shared
+  FROM item_shingles JOIN doc_shingles USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles"""
+
+_SCAN = LicenseScan()
+_TEMPLATES = ", ".join(f"('{label}', '{body}')" for label, body in _SCAN.templates)
+_PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in _SCAN.phrases)
+
+ORACLES["op4_license_scan"] = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{PLAIN}') AS w FROM documents),
+phrases AS (SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {_PHRASES}) AS t(label, phrase)),
+templates AS (
+  SELECT label, list_distinct(string_split(body, ' ')) AS t FROM (VALUES {_TEMPLATES}) AS t(label, body)),
+places AS (
+  SELECT doc_id, label, i - 1 AS place
+  FROM words, unnest(generate_series(1, len(w))) AS s(i), phrases
+  WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base
+  FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(w[s + 1:s + {_SCAN.window}]) AS b
+  FROM words, unnest(generate_series(0, greatest(len(w) - {_SCAN.window // 2} - 1, 0), {_SCAN.window // 2})) AS t(s)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) AS shared, len(t) AS n FROM blocks, templates),
+best AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(shared / n) AS score
+  FROM met WHERE 100 * shared >= {_SCAN.percent} * n GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '')
+         AS labels,
+       coalesce(score, 0.0) AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+ORACLES["op5_url_filter"] = f"""
+WITH located AS (
+  SELECT page_id,
+         {_lower("coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '')")} AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+rules AS (
+  SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                        ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(h, p, action)),
+fitting AS (
+  SELECT page_id, h || p AS rule, action
+  FROM located JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM located LEFT JOIN fitting USING (page_id)"""
+
+ORACLES["op7_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, i, l, {_lower("trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) AS d,
+       unnest(ls) WITH ORDINALITY AS t(l, i)),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT doc_id, i, l, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+ORACLES["op9_near_dedup"] = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{SPACED}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM words, unnest(generate_series(1, greatest(len(w) - 2, least(len(w), 1)))) AS t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other),
+groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM groups LEFT JOIN sizes USING (doc_id)"""

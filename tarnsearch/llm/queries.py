@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.llm import decontam, lines, mixing, neardup, quality, sharding
+from tarnsearch.llm import decontam, licenses, lines, mixing, neardup, quality, sharding, urls
 from tarnsearch.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +23,24 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, folder, "documents"))
+
+
+# Host, path and action of the rules.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.filter_urls(_table(spark, folder, "pages"), rules)
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -55,6 +73,8 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
+    "op4_license_scan": license_scan,
+    "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
     "op7_line_dedup": line_dedup,
     "op8_mix_sources": mix_sources,
