@@ -4,12 +4,16 @@
    signature (the hash range is cut in bins, a bin keeps its least hash, an empty bin
    borrows from a full one chosen by an own random walk: optimal densification).
 2. Texts with the same words are one class; its smallest id stands for it.
-3. Bands of the signature are bucket keys. In a bucket every document is compared with
-   the smallest one only (a star), so a bucket of n documents gives n - 1 pairs.
+3. Bands of the signature are bucket keys. In a bucket every document is compared with one
+   only, its centre (a star), so a bucket of n documents gives n - 1 pairs. Centres are drawn by a
+   hash of document and bucket: two documents that share many buckets meet many centres.
 4. Pairs are confirmed on their texts' full sets; links make components.
-5. A bucket that still holds several components may hide a link that no star showed. Its
-   documents, without the centres used, go through further rounds with 8, 64, ... centres, each compared with documents of other components only, until no such bucket is left.
-   Copies are one component after the first round and cost nothing more.
+5. A bucket that still holds several components may hide a link that its star did not show. Its
+   documents get further, sharper buckets: ``COMBINED`` bands at once, in which dissimilar
+   documents seldom meet, with ``CENTRES`` centres each. Rounds go on, with new centres, until no
+   bucket holds several components or a round finds no link.
+
+Every round costs at most a pair per document, bucket and centre, whatever the groups' sizes.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.graph import components
@@ -28,8 +32,9 @@ from tarnsearch.llm.text import SPACED, Block, blocks, distinct, document_key, m
 from tarnsearch.plans.work import materialize
 
 
-# Centres of a bucket grow so much from round to round.
-GROWTH = 8
+COMBINED = 3
+SHARP_BUCKETS = 100
+CENTRES = 4  # of a sharp bucket, in one round
 
 
 @dataclass(frozen=True)
@@ -116,18 +121,23 @@ def _linked(how: NearDup):
     return F.pandas_udf(run, "boolean")
 
 
-def _open_buckets(rows: DataFrame, centres: int) -> DataFrame:
-    """The rows of buckets that hold several components, dealt to as many stars as centres."""
+def _open_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return rows.join(mixed.select("key"), "key", "left_semi").withColumn(
-        "star", F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(centres)).cast("int")
-    )
+    return rows.join(mixed.select("key"), "key", "left_semi")
 
 
-def _star_pairs(rows: DataFrame, stars: DataFrame, how: NearDup) -> DataFrame:
-    """Every centre with the rows of its bucket that belong to other components."""
+def _star_pairs(rows: DataFrame, turn: int, how: NearDup) -> DataFrame:
+    """The centres of every bucket with the rows that belong to other components."""
+    draws = F.sequence(F.lit(1), F.lit(CENTRES if turn else 1))
+    stars = (
+        rows.withColumn("d", F.explode(draws))
+        .withColumn("draw", F.xxhash64("id", "key", "d", F.lit(turn)))
+        .groupBy("key", "d")
+        .agg(F.min_by("id", "draw").alias("c"), F.min_by("label", "draw").alias("c_label"), F.min_by("n", "draw").alias("c_n"))
+    )
     return (
-        rows.join(stars.drop("star"), "key")
+        rows.join(stars.drop("d").distinct(), "key")
         .where("label <> c_label")
         .where(f"100 * least(n, c_n) >= {how.percent} * greatest(n, c_n)")
         .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
@@ -135,6 +145,15 @@ def _star_pairs(rows: DataFrame, stars: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
+def _sharp_keys(bands: int) -> Column:
+    """Bucket keys of several bands each; which ones is fixed by a rule."""
+    keys = []
+    for i in range(SHARP_BUCKETS):
+        drawn = np.random.default_rng(i).choice(bands, min(COMBINED, bands), replace=False)
+        keys.append(F.xxhash64(F.lit(i), *(F.get("keys", F.lit(int(d))) for d in sorted(drawn))))
+    return F.array(*keys)
+
+
 def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -150,8 +169,8 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
     classes = worded.groupBy("digest").agg(F.min("id").alias("id"))
     # The class of the same words that a document stands for; a repeated id may stand for several.
     nodes = worded.join(classes, ["digest", "id"], "left_semi").dropDuplicates(["digest"])
-    rows = materialize(nodes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")), "bands")
-    rows = materialize(_open_buckets(rows.withColumn("label", F.col("id")), 1), "buckets")
+    bands = nodes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    rows = materialize(_open_buckets(materialize(bands, "bands").withColumn("label", F.col("id"))), "buckets")
     texts = materialize(
         docs.join(rows.select("id").distinct(), "id", "left_semi")
         .withColumn("_md5", F.md5("text"))
@@ -163,26 +182,28 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     links = _same_document(worded, classes)
     tested = None
-    centres = 1
+    turn = 0
     while rows.head(1):
-        stars = rows.groupBy("key", "star").agg(
-            F.min("id").alias("c"), F.min_by("label", "id").alias("c_label"), F.min_by("n", "id").alias("c_n")
-        )
-        pairs = _star_pairs(rows, stars, how)
+        pairs = _star_pairs(rows, turn, how)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = pairs.join(left, "a").join(right, "b").where(_linked(how)("text_a", "text_b")).select("a", "b")
-        links = links.union(materialize(found, "links"))
-        labels = components(links)
-        centres *= GROWTH
-        rest = (
-            rows.join(stars.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-            .join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-        )
-        rows = materialize(_open_buckets(rest, centres), "buckets")
+        found = materialize(found, "links")
+        if turn and not found.head(1):
+            break
+        links = links.union(found)
+        labels = materialize(components(links), "labels").withColumnRenamed("node", "id")
+        labelled = rows.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        labelled = labelled.drop("component")
+        if not turn:
+            unsure = materialize(_open_buckets(labelled).select("id", "label").distinct(), "unsure")
+            labelled = nodes.join(unsure, "id").select(
+                "id", F.col("n_shingles").alias("n"), "label", F.explode(_sharp_keys(how.bands)).alias("key")
+            )
+        rows = materialize(_open_buckets(labelled), "buckets")
+        turn += 1
     groups = (
         classes.join(components(links).withColumnRenamed("node", "id"), "id", "left")
         .select("digest", F.coalesce("component", "id").alias("component"))
