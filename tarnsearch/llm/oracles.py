@@ -30,6 +30,33 @@ shared AS (
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles"""
 
+ORACLES["op3_lm_scores"] = f"""
+WITH words AS (
+  SELECT doc_id, i, w FROM (
+    SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{SPACED}') AS ws FROM documents) AS d,
+    unnest(ws) WITH ORDINALITY AS t(w, i)),
+pairs AS (
+  SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM words),
+one AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+own_one AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY ALL),
+two AS (SELECT v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+own_two AS (SELECT doc_id, v, w, count(*) AS c FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n, (SELECT count(*) FROM words) - count(*) AS rest FROM words GROUP BY doc_id),
+parts AS (
+  SELECT p.doc_id, p.v, s.n, two.c - own_two.c AS seen, a.c - own_a.c AS first,
+         (CASE WHEN b.c > own_b.c THEN b.c - own_b.c ELSE 0.5 END) / s.rest AS back
+  FROM pairs p JOIN sizes s USING (doc_id)
+  JOIN one b ON b.w = p.w JOIN own_one own_b ON own_b.w = p.w AND own_b.doc_id = p.doc_id
+  LEFT JOIN two ON two.v = p.v AND two.w = p.w
+  LEFT JOIN own_two ON own_two.v = p.v AND own_two.w = p.w AND own_two.doc_id = p.doc_id
+  LEFT JOIN one a ON a.w = p.v LEFT JOIN own_one own_a ON own_a.w = p.v AND own_a.doc_id = p.doc_id),
+scored AS (
+  SELECT doc_id, any_value(n) AS n,
+         sum(ln(CASE WHEN v IS NULL THEN back WHEN seen > 0 THEN seen / first ELSE 0.4 * back END)) AS score
+  FROM parts GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, round(score / n, 6) AS mean_log_score
+FROM documents LEFT JOIN scored USING (doc_id)"""
+
 _SCAN = LicenseScan()
 _TEMPLATES = ", ".join(f"('{label}', '{body}')" for label, body in _SCAN.templates)
 _PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in _SCAN.phrases)

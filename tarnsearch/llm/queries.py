@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.llm import decontam, licenses, lines, mixing, neardup, quality, sharding, urls
+from tarnsearch.llm import decontam, licenses, lines, lm, mixing, neardup, passages, quality, sharding, urls
 from tarnsearch.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +23,15 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, folder, "documents"))
+
+
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm.backoff_scores(_table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
 
@@ -73,6 +82,8 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
+    "op2_substring_dedup": substring_dedup,
+    "op3_lm_scores": lm_scores,
     "op4_license_scan": license_scan,
     "op5_url_filter": url_filter,
     "op6_quality_rules": quality_rules,
