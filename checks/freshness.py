@@ -25,7 +25,7 @@ CURRENT = """
 current_docs AS (
   SELECT d.doc_id, d.source, CASE WHEN l.quality = 1 THEN d.text || ' Updated.' ELSE d.text END AS text
   FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0
-  UNION ALL SELECT -1 - page_id, 'pages', url FROM pages)"""
+  UNION ALL SELECT -1 - page_id, 'pages', html FROM pages)"""
 SNAPSHOTS = f"""
 saved AS ({MANIFEST_SQL}),
 {CURRENT.strip()},
@@ -38,7 +38,7 @@ def current_documents(spark, folder) -> DataFrame:
     text = F.when(F.col("quality") == 1, F.concat("text", F.lit(" Updated."))).otherwise(F.col("text"))
     kept = docs.join(labels, "doc_id", "left").filter("coalesce(toxic, 0) = 0")
     pages = table(spark, folder, "pages").select(
-        (-1 - F.col("page_id")).alias("doc_id"), F.lit("pages").alias("source"), F.col("url").alias("text")
+        (-1 - F.col("page_id")).alias("doc_id"), F.lit("pages").alias("source"), F.col("html").alias("text")
     )
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     everything = kept.select("doc_id", "source", text.alias("text")).unionByName(pages)
@@ -91,8 +91,8 @@ def diff_files(spark, folder):
 @query(
     "manifest_reasons",
     with_(SNAPSHOTS, DIFF)
-    + """SELECT status, CAST(0 AS BIGINT) AS line, count(*) AS n_files,
-    status || ' source files: ' || string_agg(path, ', ' ORDER BY path) AS reason FROM diff GROUP BY status""",
+    + """SELECT status, path, count(*) OVER (PARTITION BY status) AS n_files,
+    status || ' source file: ' || path AS reason FROM diff""",
 )
 def reasons(spark, folder):
     return manifest.reasons(manifest.diff_files(*_snapshots(spark, folder)))

@@ -32,9 +32,9 @@ totals AS (
   SELECT count(*) AS n, CAST(sum(chunk_len) AS BIGINT) AS n_tokens,
          sum(chunk_len) / count(*) AS avg_len FROM chunk_len),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM terms, totals),
+mean AS (SELECT avg(raw) AS mean FROM raw),
 idf AS (
-  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf
-  FROM raw)"""
+  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)"""
 
 BM25 = f"""
 asked AS (

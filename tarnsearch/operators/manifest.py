@@ -7,10 +7,6 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.params import positive
-
-PATHS_PER_LINE = 1000
-
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: relative path, size, modification time, SHA-256.
@@ -81,27 +77,14 @@ def diff_files(saved: DataFrame, current: DataFrame, compare_mtime: bool = False
     ).filter("status IS NOT NULL")
 
 
-def reasons(diff: DataFrame, paths_per_line: int = PATHS_PER_LINE) -> DataFrame:
-    """What changed, in words: ``new source files: a, b``.
-
-    Up to ``paths_per_line`` paths share a line; a status with more is spread by path
-    over as many lines as it needs, so that no line gathers an unbounded list.
-    """
-    positive("paths_per_line", paths_per_line)
-    lines = diff.groupBy("status").agg(
-        F.ceil(F.count("*") / paths_per_line).cast("bigint").alias("n_lines")
-    )
-    bucket = F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint") % F.col("n_lines")
-    return (
-        # At most three rows.
-        diff.join(F.broadcast(lines), "status")
-        .withColumn("line", bucket)
-        .groupBy("status", "line")
-        .agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("path")).alias("paths"))
-        .select(
-            "status",
-            "line",
-            "n_files",
-            F.concat("status", F.lit(" source files: "), F.array_join("paths", ", ")).alias("reason"),
-        )
+def reasons(diff: DataFrame) -> DataFrame:
+    """What changed, in words: a row ``new source file: a`` per path, with the number of
+    files of that status. No row and no task gathers a list of paths."""
+    # At most three rows.
+    counts = diff.groupBy("status").agg(F.count("*").alias("n_files"))
+    return diff.join(F.broadcast(counts), "status").select(
+        "status",
+        "path",
+        "n_files",
+        F.concat("status", F.lit(" source file: "), F.col("path")).alias("reason"),
     )

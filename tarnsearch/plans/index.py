@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.operators import bm25, manifest
+from tarnsearch.operators import bm25, dense, manifest
 from tarnsearch.operators.chunking import number_chunks
 from tarnsearch.operators.embedding import Embedder, embed
 from tarnsearch.params import (
@@ -160,14 +160,26 @@ def open_index(spark: SparkSession, root: str, version: int | None = None) -> In
     )
 
 
-def last_batch(spark: SparkSession, root: str, stream: str) -> int:
-    """Newest batch of a stream an index has taken in; -1 before the first."""
-    row = _versions(spark, root).filter(F.col("stream") == stream).agg(F.max("batch")).first()
-    return -1 if row[0] is None else row[0]
+def _document_manifest(documents: DataFrame) -> DataFrame:
+    """A document changes with its text and with its path: chunks carry both."""
+    entries = manifest.content_manifest(
+        documents.withColumn("_whole", F.concat_ws("\n", "source_path", "text")),
+        F.col("doc_id").cast("string"),
+        "_whole",
+    )
+    return entries
 
 
-def _document_manifest(documents: DataFrame) -> DataFrame:
-    return manifest.content_manifest(documents, F.col("doc_id").cast("string"))
+def _check_ids(now: DataFrame) -> None:
+    repeated = now.groupBy("path").count().filter("count > 1 OR path IS NULL").head(1)
+    if repeated:
+        raise ValueError(f"documents need one doc_id each, found again or null: {repeated[0]['path']}")
+
+
+def _check_vectors(vectors: DataFrame, embedder: Embedder) -> None:
+    bad = dense.vector_violations(vectors, embedder.dim).head(1)
+    if bad:
+        raise ValueError(f"vector of chunk {bad[0]['chunk_id']}: {bad[0]['reason']}")
 
 
 def _write(df: DataFrame, root: str, table: str, version: int) -> DataFrame:
@@ -190,7 +202,7 @@ def _write_chunks(
         first_id=first_id,
     )
     chunks = _write(numbered, root, "chunks", version)
-    _write(embed(chunks, embedder), root, "vectors", version)
+    _check_vectors(_write(embed(chunks, embedder), root, "vectors", version), embedder)
     counted = _write(bm25.postings(chunks), root, "postings", version)
     last = chunks.agg(F.max("chunk_id")).first()[0]
     return counted, first_id if last is None else last + 1
@@ -234,10 +246,11 @@ def build_index(
     check_embedder(settings, embedder)
     before = open_index(spark, root)
     version = 1 if before is None else before.version + 1
+    now = _write(_document_manifest(documents), root, "manifest", version)
+    _check_ids(now)
     counted, next_id = _write_chunks(documents, root, version, settings, embedder, 0)
     _write(spark.createDataFrame([], "chunk_id BIGINT"), root, "tombstones", version)
     _write(bm25.term_stats(counted), root, "terms", version)
-    _write(_document_manifest(documents), root, "manifest", version)
     return _publish(spark, root, version, version, next_id, settings, stream, batch)
 
 
@@ -252,7 +265,8 @@ def refresh_index(
 ) -> Index:
     """The next version, holding ``documents`` as they are now.
 
-    Only documents whose content differs are split, embedded and counted. With
+    Only documents whose text or path differs are split, embedded and counted. A stream's
+    batch that differs in nothing makes no version. Repeated doc_ids raise. With
     ``remove_missing=False`` documents that are not given stay in the index. ``index``
     must be the newest version, and one writer publishes at a time.
     """
@@ -262,11 +276,14 @@ def refresh_index(
     check_embedder(settings, embedder)
     spark, root, version = index.spark, index.root, index.version + 1
 
-    now = _document_manifest(documents)
+    now = materialize(_document_manifest(documents), "manifest")
+    _check_ids(now)
     diff = manifest.diff_files(index.manifest, now)
     if not remove_missing:
         diff = diff.filter("status <> 'removed'")
     diff = materialize(diff, "diff")
+    if stream is not None and not diff.head(1):
+        return index
     fresh = diff.filter("status <> 'removed'").select("path")
     stale = diff.filter("status <> 'new'").select("path")
     path = F.col("doc_id").cast("string")

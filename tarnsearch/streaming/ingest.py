@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnsearch.operators.embedding import Embedder
-from tarnsearch.plans.index import Settings, build_index, last_batch, open_index, refresh_index
+from tarnsearch.plans.index import Settings, build_index, open_index, refresh_index
 
 
 def ingest(
@@ -20,15 +20,14 @@ def ingest(
 ) -> StreamingQuery:
     """Start a stream of ``(doc_id, source_path, text)`` into the index under ``root``.
 
-    Every micro-batch becomes one version: new documents are added, known ones with
-    another content replaced. A batch that is delivered again after a failure is
-    recognised by the stream's name and skipped. A document must come once per batch.
+    Every micro-batch that brings something becomes one version: new documents are added, known ones with
+    another content or path replaced. A batch that is delivered again, after a failure or from
+    a fresh checkpoint, differs from the index in nothing and makes no version. A
+    document must come once per batch: repeated ids raise.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id <= last_batch(spark, root, stream):
-            return
         index = open_index(spark, root)
         if index is None:
             build_index(batch, root, embedder, settings, stream, batch_id)

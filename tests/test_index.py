@@ -170,6 +170,29 @@ def test_a_batch_delivered_twice_is_taken_once(spark, frame, settings):
     assert open_index(spark, root).version == 1
 
 
+def test_a_fresh_checkpoint_loses_no_document(spark, frame, settings):
+    root = work_folder(spark, "test-index")
+    for rows in (BEFORE[:1], BEFORE[1:]):
+        docs = work_folder(spark, "incoming")
+        frame(rows, DOC).write.parquet(docs)
+        stream = spark.readStream.schema(DOC).parquet(docs)
+        ingest(stream, root, EMBEDDER, work_folder(spark, "checkpoint"), "docs", settings).awaitTermination()
+    assert {r.path for r in open_index(spark, root).manifest.collect()} == {str(r[0]) for r in BEFORE}
+
+
+def test_a_moved_document_is_refreshed(spark, frame, settings):
+    first = build_index(frame(BEFORE, DOC), work_folder(spark, "test-index"), EMBEDDER, settings)
+    moved = [BEFORE[0], (1, "elsewhere/1", BEFORE[1][2]), *BEFORE[2:]]
+    second = refresh_index(first, frame(moved, DOC), EMBEDDER)
+    assert "elsewhere/1" in {r.source_path for r in second.chunks.collect()}
+    assert BEFORE[1][1] not in {r.source_path for r in second.chunks.collect()}
+
+
+def test_repeated_ids_are_refused(spark, frame, settings):
+    with pytest.raises(ValueError, match="doc_id"):
+        build_index(frame(BEFORE + BEFORE[:1], DOC), work_folder(spark, "test-index"), EMBEDDER, settings)
+
+
 def test_statistics_follow_the_live_chunks(spark, frame, settings):
     first = build_index(frame(BEFORE, DOC), work_folder(spark, "test-index"), EMBEDDER, settings)
     second = refresh_index(first, frame(AFTER, DOC), EMBEDDER)
