@@ -19,13 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.text import SPACED, blocks, mix
 from tarnsearch.plans.work import materialize
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 22
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
@@ -153,16 +153,16 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     encoded = materialize(texts.mapInPandas(_encode, ENCODED), "blocks")
+    same = Window.partitionBy("hash")  # a row per block that has the n-gram
     total = encoded.agg(F.sum(F.size("numbers"))).first()[0] or 0
     totals = (
         encoded.select("block", "bounds", "numbers", "words")
         .mapInPandas(_ngrams, "hash bigint, block bigint, number int, n bigint")
-        .groupBy("hash")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("block", "number")).alias("places"))
-        .where(F.size("places") > 1)
-        .select("total", F.explode("places").alias("p"))
-        .groupBy("p.block")
-        .agg(F.collect_list("p.number").alias("places"), F.collect_list("total").alias("totals"))
+        .select("block", "number", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("found"))
+        .where("found > 1")
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("number", "total")).alias("p"))
+        .select("block", F.col("p.number").alias("places"), F.col("p.total").alias("totals"))
     )
     scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "places", "totals")
     return (
