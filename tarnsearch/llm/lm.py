@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tarnsearch.llm.text import SPACED, blocks, mix
 from tarnsearch.plans.work import materialize
 
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
