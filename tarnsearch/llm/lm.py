@@ -5,10 +5,14 @@ a text is not explained by itself. Done as tables of n-grams partitioned by hash
 
 1. Texts are numbered in blocks of about ``BLOCK_WORDS`` words: words of the block by hash, texts as
    arrays of numbers. Written once; a block is one row.
-2. The distinct n-grams of each block, with their counts, are exploded and summed by hash: counting
-   starts inside the blocks, so that the commonest n-gram is one row per block.
-3. N-grams found in several blocks go back to those with their totals; the others' totals are known
-   where they are. A block's totals meet its texts, and scores are summed per document.
+2. The distinct n-grams of each block, with their counts, are exploded into the parts of the hash range.
+   What a block has in one part is one row of two arrays, so an n-gram crosses the network as its hash
+   and a small count; counting starts inside the blocks, so the commonest n-gram is an entry per block.
+3. Each part sums its counts. An n-gram that other blocks have too goes back to its blocks with the
+   others' count; the rest is known where it is. A block's counts meet its texts, and scores are
+   summed per document.
+
+There are as many parts as keep each near ``PART_WORDS`` words, so no task grows with the input.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.text import SPACED, blocks, mix
 from tarnsearch.plans.work import materialize
 
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
+PART_WORDS = 1 << 18
+LEAST_PART_BITS = 10
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
@@ -88,32 +94,74 @@ def _pairs(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray):
     return hashes, ending, np.bincount(inverse, minlength=len(distinct))
 
 
-def _ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples():
-            numbers, words = np.asarray(row.numbers), np.asarray(row.words)
-            hashes, _, counts = _pairs(np.asarray(row.bounds), numbers, words)
-            every = np.concatenate([words, hashes.view(np.int64)])
-            yield pd.DataFrame(
-                {
-                    "hash": every,
-                    "block": np.full(len(every), row.block, np.int64),
-                    "number": np.arange(len(every), dtype=np.int32),
-                    "n": np.concatenate([np.bincount(numbers, minlength=len(words)), counts]).astype(np.int64),
-                }
-            )
+def _part_bits(total: int) -> int:
+    """Of a hash, the bits that name its part."""
+    return max(LEAST_PART_BITS, (total // PART_WORDS).bit_length())
+
+
+PIECES = "part bigint, block bigint, first int, hashes array<bigint>, counts array<int>"
+
+
+def _ngrams(bits: int):
+    """The n-grams of each block in the order of their hashes, cut at the bounds of the parts.
+    ``first`` is the place of a piece's first n-gram in that order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                numbers, words = np.asarray(row.numbers), np.asarray(row.words)
+                if not len(words):
+                    continue
+                hashes, _, pair_counts = _pairs(np.asarray(row.bounds), numbers, words)
+                every = np.concatenate([words.view(np.uint64), hashes])
+                counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts]).astype(np.int32)
+                order = np.argsort(every, kind="stable")
+                every, counts = every[order], counts[order]
+                parts = (every >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1
+                first = np.concatenate(([0], cuts))
+                yield pd.DataFrame(
+                    {
+                        "part": parts[first],
+                        "block": np.full(len(first), row.block, np.int64),
+                        "first": first.astype(np.int32),
+                        "hashes": np.split(every.view(np.int64), cuts),
+                        "counts": np.split(counts, cuts),
+                    }
+                )
+
+    return run
+
+
+OTHERS = "block bigint, places array<int>, others array<bigint>"
+
+
+def _sums(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Per block of a part the n-grams that other blocks have as well, and how often these have them."""
+    sizes = [len(h) for h in pieces["hashes"]]
+    hashes, counts = np.concatenate(pieces["hashes"].tolist()), np.concatenate(pieces["counts"].tolist())
+    _, which = np.unique(hashes, return_inverse=True)
+    others = np.bincount(which, weights=counts).astype(np.int64)[which] - counts
+    places = np.concatenate([np.arange(f, f + n, dtype=np.int32) for f, n in zip(pieces["first"], sizes)])
+    out = []
+    cuts = np.cumsum(sizes)[:-1]
+    for block, p, o in zip(pieces["block"], np.split(places, cuts), np.split(others, cuts)):
+        if o.any():
+            out.append((block, p[o > 0], o[o > 0]))
+    return pd.DataFrame(out, columns=["block", "places", "others"], dtype=object)
 
 
 SCORES = "array<struct<doc_id: bigint, n_words: bigint, log_score: double>>"
 
 
 def _scorer(total: int, how: Backoff):
-    def one(ids, missing, bounds, numbers, words, places, totals):
+    def one(ids, missing, bounds, numbers, words, places, elsewhere):
         bounds, numbers, words = np.asarray(bounds), np.asarray(numbers), np.asarray(words)
-        _, ending, pair_counts = _pairs(bounds, numbers, words)
+        hashes, ending, pair_counts = _pairs(bounds, numbers, words)
         counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts]).astype(np.int64)
         if places is not None and len(places):
-            counts[np.asarray(places)] = np.asarray(totals)
+            order = np.argsort(np.concatenate([words.view(np.uint64), hashes]), kind="stable")
+            counts[order[np.asarray(places)]] += np.asarray(elsewhere)
         single, double = counts[: len(words)], counts[len(words) :]
         out = []
         for i, gone, a, b in zip(ids, missing, bounds[:-1], bounds[1:]):
@@ -135,9 +183,9 @@ def _scorer(total: int, how: Backoff):
 
     def run(
         ids: pd.Series, missing: pd.Series, bounds: pd.Series, numbers: pd.Series, words: pd.Series,
-        places: pd.Series, totals: pd.Series,
+        places: pd.Series, others: pd.Series,
     ) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(ids, missing, bounds, numbers, words, places, totals)], dtype=object)
+        return pd.Series([one(*row) for row in zip(ids, missing, bounds, numbers, words, places, others)], dtype=object)
 
     return F.pandas_udf(run, SCORES)
 
@@ -153,20 +201,19 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     encoded = materialize(texts.mapInPandas(_encode, ENCODED), "blocks")
-    same = Window.partitionBy("hash")  # a row per block that has the n-gram
     total = encoded.agg(F.sum(F.size("numbers"))).first()[0] or 0
-    totals = (
+    elsewhere = (
         encoded.select("block", "bounds", "numbers", "words")
-        .mapInPandas(_ngrams, "hash bigint, block bigint, number int, n bigint")
-        .select("block", "number", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("found"))
-        .where("found > 1")
+        .mapInPandas(_ngrams(_part_bits(total)), PIECES)
+        .groupBy("part")
+        .applyInPandas(_sums, OTHERS)
         .groupBy("block")
-        .agg(F.collect_list(F.struct("number", "total")).alias("p"))
-        .select("block", F.col("p.number").alias("places"), F.col("p.total").alias("totals"))
+        .agg(F.collect_list(F.struct("places", "others")).alias("p"))
+        .select("block", F.flatten("p.places").alias("places"), F.flatten("p.others").alias("others"))
     )
-    scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "places", "totals")
+    scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "places", "others")
     return (
-        encoded.join(totals, "block", "left")
+        encoded.join(elsewhere, "block", "left")
         .select(F.explode(scores).alias("s"))
         .select("s.*")
         .withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
