@@ -6,11 +6,10 @@ a text is not explained by itself. Done as tables of n-grams partitioned by hash
 1. Texts are numbered in blocks of about ``BLOCK_WORDS`` words: words of the block by hash, texts as
    arrays of numbers. Written once; a block is one row.
 2. The distinct n-grams of each block, with their counts, are exploded into the parts of the hash range.
-   What a block has in one part is one row of two arrays, so an n-gram crosses the network as its hash
-   and a small count; counting starts inside the blocks, so the commonest n-gram is an entry per block.
-3. Each part sums its counts. An n-gram that other blocks have too goes back to its blocks with the
-   others' count; the rest is known where it is. A block's counts meet its texts, and scores are
-   summed per document.
+   What a block has in one part is one row: sorted hashes as steps, and counts, both as bytes that
+   compress well. Counting starts inside the blocks, so the commonest n-gram is an entry per block.
+3. Each part sums its counts, and every block gets back what the others have, in the order of its
+   hashes, which needs no keys. A block's counts meet its texts, and scores are summed per document.
 
 There are as many parts as keep each near ``PART_WORDS`` words, so no task grows with the input.
 """
@@ -35,6 +34,24 @@ LEAST_PART_BITS = 10
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, lowest bytes of all first: small numbers compress to about a byte."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    """Sorted hashes as the first and the steps between them."""
+    return _planes(np.diff(rising, prepend=rising[:1] * 0).view(np.int64))
+
+
+def _rising(planes: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(planes).view(np.uint64), dtype=np.uint64)
+
+
 @dataclass(frozen=True)
 class Backoff:
     """``discount`` per step back; an unseen word counts as ``unseen`` of one occurrence."""
@@ -43,7 +60,7 @@ class Backoff:
     unseen: float = 0.5
 
 
-ENCODED = "block bigint, ids array<bigint>, missing array<boolean>, bounds array<int>, numbers array<int>, words array<bigint>"
+ENCODED = "block bigint, ids array<bigint>, missing array<boolean>, n bigint, bounds array<int>, numbers binary, words binary"
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,8 +77,9 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "ids": [int(i or 0) for i in ids],
             "missing": [i is None for i in ids],
             "bounds": np.cumsum([0, *lengths]).astype(np.int32),
-            "numbers": numbers.astype(np.int32),
-            "words": words.view(np.int64),
+            "n": len(numbers),
+            "numbers": _planes(numbers),
+            "words": _steps(words),
         }
         made += 1
         ids.clear(), lengths.clear(), held.clear()
@@ -89,8 +107,7 @@ def _pairs(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray):
     distinct, inverse = np.unique(codes, return_inverse=True)
     ending = np.full(len(numbers), -1, np.int64)
     ending[at] = inverse
-    u = words.view(np.uint64)
-    hashes = mix(u[distinct // max(1, len(words))] * _PAIR + u[distinct % max(1, len(words))])
+    hashes = mix(words[distinct // max(1, len(words))] * _PAIR + words[distinct % max(1, len(words))])
     return hashes, ending, np.bincount(inverse, minlength=len(distinct))
 
 
@@ -99,22 +116,21 @@ def _part_bits(total: int) -> int:
     return max(LEAST_PART_BITS, (total // PART_WORDS).bit_length())
 
 
-PIECES = "part bigint, block bigint, first int, hashes array<bigint>, counts array<int>"
+PIECES = "part bigint, block bigint, hashes binary, counts binary"
 
 
 def _ngrams(bits: int):
-    """The n-grams of each block in the order of their hashes, cut at the bounds of the parts.
-    ``first`` is the place of a piece's first n-gram in that order."""
+    """The n-grams of each block in the order of their hashes, cut at the bounds of the parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                numbers, words = np.asarray(row.numbers), np.asarray(row.words)
+                numbers, words = _numbers(row.numbers), _rising(row.words)
                 if not len(words):
                     continue
                 hashes, _, pair_counts = _pairs(np.asarray(row.bounds), numbers, words)
-                every = np.concatenate([words.view(np.uint64), hashes])
-                counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts]).astype(np.int32)
+                every = np.concatenate([words, hashes])
+                counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts])
                 order = np.argsort(every, kind="stable")
                 every, counts = every[order], counts[order]
                 parts = (every >> np.uint64(64 - bits)).astype(np.int64)
@@ -124,44 +140,38 @@ def _ngrams(bits: int):
                     {
                         "part": parts[first],
                         "block": np.full(len(first), row.block, np.int64),
-                        "first": first.astype(np.int32),
-                        "hashes": np.split(every.view(np.int64), cuts),
-                        "counts": np.split(counts, cuts),
+                        "hashes": [_steps(h) for h in np.split(every, cuts)],
+                        "counts": [_planes(c) for c in np.split(counts, cuts)],
                     }
                 )
 
     return run
 
 
-OTHERS = "block bigint, places array<int>, others array<bigint>"
+OTHERS = "block bigint, part bigint, others binary"
 
 
 def _sums(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Per block of a part the n-grams that other blocks have as well, and how often these have them."""
-    sizes = [len(h) for h in pieces["hashes"]]
-    hashes, counts = np.concatenate(pieces["hashes"].tolist()), np.concatenate(pieces["counts"].tolist())
-    _, which = np.unique(hashes, return_inverse=True)
+    """How often the other blocks have each n-gram of a part; per block, in the order of its piece."""
+    hashes, counts = [_rising(h) for h in pieces["hashes"]], np.concatenate([_numbers(c) for c in pieces["counts"]])
+    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
     others = np.bincount(which, weights=counts).astype(np.int64)[which] - counts
-    places = np.concatenate([np.arange(f, f + n, dtype=np.int32) for f, n in zip(pieces["first"], sizes)])
-    out = []
-    cuts = np.cumsum(sizes)[:-1]
-    for block, p, o in zip(pieces["block"], np.split(places, cuts), np.split(others, cuts)):
-        if o.any():
-            out.append((block, p[o > 0], o[o > 0]))
-    return pd.DataFrame(out, columns=["block", "places", "others"], dtype=object)
+    cuts = np.cumsum([len(h) for h in hashes])[:-1]
+    own = [_planes(o) for o in np.split(others, cuts)]
+    return pd.DataFrame({"block": pieces["block"], "part": pieces["part"], "others": own})
 
 
 SCORES = "array<struct<doc_id: bigint, n_words: bigint, log_score: double>>"
 
 
 def _scorer(total: int, how: Backoff):
-    def one(ids, missing, bounds, numbers, words, places, elsewhere):
-        bounds, numbers, words = np.asarray(bounds), np.asarray(numbers), np.asarray(words)
+    def one(ids, missing, bounds, numbers, words, others):
+        bounds, numbers, words = np.asarray(bounds), _numbers(numbers), _rising(words)
         hashes, ending, pair_counts = _pairs(bounds, numbers, words)
         counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts]).astype(np.int64)
-        if places is not None and len(places):
-            order = np.argsort(np.concatenate([words.view(np.uint64), hashes]), kind="stable")
-            counts[order[np.asarray(places)]] += np.asarray(elsewhere)
+        if others is not None and len(others):
+            order = np.argsort(np.concatenate([words, hashes]), kind="stable")
+            counts[order] += np.concatenate([_numbers(o) for o in others])
         single, double = counts[: len(words)], counts[len(words) :]
         out = []
         for i, gone, a, b in zip(ids, missing, bounds[:-1], bounds[1:]):
@@ -182,10 +192,9 @@ def _scorer(total: int, how: Backoff):
         return out
 
     def run(
-        ids: pd.Series, missing: pd.Series, bounds: pd.Series, numbers: pd.Series, words: pd.Series,
-        places: pd.Series, others: pd.Series,
-    ) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(ids, missing, bounds, numbers, words, places, others)], dtype=object)
+        ids: pd.Series, missing: pd.Series, bounds: pd.Series, numbers: pd.Series, words: pd.Series, others: pd.Series
+    ) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(ids, missing, bounds, numbers, words, others)], dtype=object)
 
     return F.pandas_udf(run, SCORES)
 
@@ -201,17 +210,17 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     encoded = materialize(texts.mapInPandas(_encode, ENCODED), "blocks")
-    total = encoded.agg(F.sum(F.size("numbers"))).first()[0] or 0
+    total = encoded.agg(F.sum("n")).first()[0] or 0
     elsewhere = (
         encoded.select("block", "bounds", "numbers", "words")
         .mapInPandas(_ngrams(_part_bits(total)), PIECES)
         .groupBy("part")
         .applyInPandas(_sums, OTHERS)
         .groupBy("block")
-        .agg(F.collect_list(F.struct("places", "others")).alias("p"))
-        .select("block", F.flatten("p.places").alias("places"), F.flatten("p.others").alias("others"))
+        .agg(F.sort_array(F.collect_list(F.struct("part", "others"))).alias("pieces"))
+        .select("block", F.col("pieces.others").alias("others"))
     )
-    scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "places", "others")
+    scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "others")
     return (
         encoded.join(elsewhere, "block", "left")
         .select(F.explode(scores).alias("s"))
