@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tarnsearch.llm.text import SPACED, blocks, mix
 from tarnsearch.plans.work import materialize
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 PART_WORDS = 1 << 18
 LEAST_PART_BITS = 10
 _PAIR = np.uint64(0xA24BAED4963EE407)
