@@ -35,21 +35,30 @@ _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers as bytes, lowest bytes of all first: small numbers compress to about a byte."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers as bytes: how many bytes the largest takes, then the lowest bytes of all, the next, ..."""
+    values = values.astype("<u8")
+    used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([used]) + values.view(np.uint8).reshape(-1, 8).T[:used].tobytes()
 
 
 def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    used = planes[0]
+    rows = np.frombuffer(planes, np.uint8)[1:].reshape(used, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, :used] = rows.T
+    return out.view("<i8").ravel()
 
 
 def _steps(rising: np.ndarray) -> bytes:
     """Sorted hashes as the first and the steps between them."""
-    return _planes(np.diff(rising, prepend=rising[:1] * 0).view(np.int64))
+    return rising[:1].astype("<u8").tobytes() + _planes(np.diff(rising))
 
 
-def _rising(planes: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(planes).view(np.uint64), dtype=np.uint64)
+def _rising(steps: bytes) -> np.ndarray:
+    if len(steps) < 9:
+        return np.empty(0, np.uint64)
+    first = np.frombuffer(steps[:8], "<u8")
+    return np.cumsum(np.concatenate([first, _numbers(steps[8:]).view(np.uint64)]), dtype=np.uint64)
 
 
 @dataclass(frozen=True)
