@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     links = _same_document(worded, classes)
+    labels = materialize(components(links), "labels")
     tested = None
     turn = 0
     while rows.head(1):
@@ -193,9 +194,11 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
         found = materialize(found, "links")
         if turn and not found.head(1):
             break
-        links = links.union(found)
-        labels = materialize(components(links), "labels").withColumnRenamed("node", "id")
-        labelled = rows.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+        # The components so far are stars: fewer rows than the links they came from, and nearer to the end.
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = materialize(components(stars.union(found)), "labels")
+        named = labels.withColumnRenamed("node", "id")
+        labelled = rows.drop("label").join(named, "id", "left").withColumn("label", F.coalesce("component", "id"))
         labelled = labelled.drop("component")
         if not turn:
             unsure = materialize(_open_buckets(labelled).select("id", "label").distinct(), "unsure")
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
         rows = materialize(_open_buckets(labelled), "buckets")
         turn += 1
     groups = (
-        classes.join(components(links).withColumnRenamed("node", "id"), "id", "left")
+        classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
         .select("digest", F.coalesce("component", "id").alias("component"))
     )
     known = sketched.select("id", "digest", "n_shingles").join(groups, "digest", "left")
