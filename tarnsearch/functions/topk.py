@@ -10,7 +10,7 @@ QUESTIONS_AT_A_TIME = 4096
 
 
 def round_half_up(values: np.ndarray, digits: int) -> np.ndarray:
-    """Same rounding as SQL ``round``; numpy's own sends halves to the even side."""
+    """Halves go away from zero, after scaling in binary: exact decimal halves may differ from SQL ``round``."""
     factor = 10.0**digits
     return np.sign(values) * np.floor(np.abs(values) * factor + 0.5) / factor + 0.0
 

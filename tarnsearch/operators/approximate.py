@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tarnsearch.operators.dense import best_per_question, local_hits, question_matrix, vector_matrix
+from tarnsearch.operators.dense import best_per_question, grid_hits, local_hits, question_matrix
 from tarnsearch.params import BROADCAST_VECTOR_BYTES, K_DENSE, SCORE_DIGITS, positive
 
 
@@ -29,21 +29,21 @@ def lsh_topk(
 
     Buckets are compared inside the tasks that hold the vectors. Nothing is shuffled by
     bucket, so one holding a third of all vectors makes no task larger than the others.
+    Questions beyond ``max_bytes`` meet the vectors in a grid of cells, with the same result.
     """
     positive("k_dense", k)
     positive("tables", tables)
-    asked = question_matrix(questions, max_bytes)
-    if asked is None:
-        raise ValueError("too many questions to ship to every task; ask in batches")
-    drawn = np.random.default_rng(seed).normal(size=(asked[1].shape[1], tables))
+    first = questions.select(F.size("embedding")).head()
+    dim = first[0] if first else 1
+    drawn = np.random.default_rng(seed).normal(size=(dim, tables))
     directions = drawn / np.linalg.norm(drawn, axis=0)
-    asked_buckets = projection_buckets(asked[1], directions, bucket_width)
 
-    def allowed(batch: pa.RecordBatch):
-        own = projection_buckets(vector_matrix(batch.column("embedding")), directions, bucket_width)
+    def allowed(stored: np.ndarray, asked: np.ndarray):
+        own = projection_buckets(stored, directions, bucket_width)
+        wanted = projection_buckets(asked, directions, bucket_width)
 
         def pairs(rows: slice, cols: slice) -> np.ndarray:
-            here, there = own[rows], asked_buckets[cols]
+            here, there = own[rows], wanted[cols]
             match = np.zeros((len(here), len(there)), dtype=bool)
             for table in range(tables):
                 match |= here[:, table, None] == there[None, :, table]
@@ -51,4 +51,9 @@ def lsh_topk(
 
         return pairs
 
-    return best_per_question(local_hits(vectors, asked, k, digits, allowed=allowed), k)
+    small = question_matrix(questions, max_bytes, dim)
+    if small is None:
+        hits = grid_hits(vectors, questions, k, digits, allowed=allowed)
+    else:
+        hits = local_hits(vectors, small, k, digits, allowed=allowed)
+    return best_per_question(hits, k)

@@ -132,7 +132,8 @@ def _best_of_task(
         block = vector_matrix(batch.column("embedding"))
         if len(asked) and block.shape[1] != asked.shape[1]:
             raise ValueError(f"query width {asked.shape[1]} differs from index width {block.shape[1]}")
-        best.offer(ids, unit_rows(block) if unit else block, allowed and allowed(batch))
+        pairs = allowed(block, asked) if allowed and len(asked) else None
+        best.offer(ids, unit_rows(block) if unit else block, pairs)
     return best.finish()
 
 
@@ -179,7 +180,7 @@ def topk(
     unit = check_metric(metric) == "cosine"
     small = question_matrix(questions, max_bytes, dim)
     if small is None:
-        return best_per_question(_grid_hits(vectors, questions, k, digits, unit), k)
+        return best_per_question(grid_hits(vectors, questions, k, digits, unit), k)
     return best_per_question(local_hits(vectors, small, k, digits, unit), k)
 
 
@@ -191,7 +192,10 @@ def local_hits(
     unit: bool = False,
     allowed=None,
 ) -> DataFrame:
-    """Every task's own best ``k`` per question; ``unit`` compares directions only."""
+    """Every task's own best ``k`` per question; ``unit`` compares directions only.
+
+    ``allowed(vectors, questions)`` may return what says which pairs of them count.
+    """
     shipped = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +209,7 @@ def local_hits(
     return vectors.select("chunk_id", "embedding").mapInArrow(job, HITS)
 
 
-def _grid_hits(
+def grid_hits(
     vectors: DataFrame,
     questions: DataFrame,
     k: int,
@@ -213,6 +217,7 @@ def _grid_hits(
     unit: bool = False,
     cell_vectors: int = CELL_VECTORS,
     cell_questions: int = CELL_QUESTIONS,
+    allowed=None,
 ) -> DataFrame:
     """Every block of vectors meets every block of questions in a task of its own."""
     rows = max(1, math.ceil(vectors.count() / cell_vectors))
@@ -232,7 +237,8 @@ def _grid_hits(
         best = ProductTopK(unit_rows(right) if unit else right, k, digits)
         if not empty:
             left = np.stack(stored["embedding"].to_numpy())
-            best.offer(stored["chunk_id"].to_numpy(), unit_rows(left) if unit else left)
+            pairs = allowed(left, right) if allowed else None
+            best.offer(stored["chunk_id"].to_numpy(), unit_rows(left) if unit else left, pairs)
         question, row_id, score = best.finish()
         ids = asked["query_id"].to_numpy(dtype=np.int64)
         return pd.DataFrame({"query_id": ids[question], "chunk_id": row_id, "score": score})

@@ -73,7 +73,7 @@ def test_grid_of_many_cells(frame):
     stored, asked = rng.normal(size=(200, 3)).astype("f4"), rng.normal(size=(30, 3)).astype("f4")
     vectors = frame([(i, v.tolist()) for i, v in enumerate(stored)], VECTORS)
     questions = frame([(i, v.tolist()) for i, v in enumerate(asked)], ASKED)
-    hits = dense._grid_hits(vectors, questions, 6, 6, cell_vectors=50, cell_questions=10)
+    hits = dense.grid_hits(vectors, questions, 6, 6, cell_vectors=50, cell_questions=10)
     assert rows(dense.best_per_question(hits, 6)) == reference_topk(stored, asked, 6)
 
 
@@ -144,6 +144,9 @@ def test_approximate_recall(frame):
     exact = {r[:1] + r[2:3] for r in rows(dense.topk(vectors, questions, 10))}
     found = {r[:1] + r[2:3] for r in rows(lsh_topk(vectors, questions, 10, bucket_width=0.3, tables=8))}
     assert len(exact & found) / len(exact) > 0.9
+    settings = {"bucket_width": 0.3, "tables": 8}
+    assert rows(lsh_topk(vectors, questions, 10, max_bytes=1, **settings)) == rows(lsh_topk(vectors, questions, 10, **settings))
+    assert rows(lsh_topk(vectors, questions.limit(0), 10)) == []
 
 
 def test_embedding_job(frame):
