@@ -140,3 +140,92 @@ reach(doc_id, other) AS (
 groups AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM groups LEFT JOIN sizes USING (doc_id)"""
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {k} AS k, unnest(list_transform(generate_series(1, len(w) - {k - 1}), lambda i: "
+    f"array_to_string(w[i:i + {k - 1}], ' '))) AS gram FROM words"
+    for k in (1, 2, 3)
+)
+
+ORACLES["op11_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_lower("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, gram, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+parts AS (SELECT lang, gram, f FROM grams WHERE f >= 10),
+found AS (SELECT lang, k, gram, f AS a, string_split(gram, ' ') AS w FROM grams WHERE k >= 2 AND f >= 10),
+cuts AS (
+  SELECT lang, gram, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM found
+  UNION ALL
+  SELECT lang, gram, a, 2, array_to_string(w[:2], ' '), w[3] FROM found WHERE k = 3),
+scored AS (
+  SELECT c.lang, c.gram, a, cut, x.f AS l, y.f AS r,
+         CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN parts x ON x.lang = c.lang AND x.gram = head JOIN parts y ON y.lang = c.lang AND y.gram = tail
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.gram ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, gram, max(a) AS most FROM (
+    SELECT lang, array_to_string(w[:2], ' ') AS gram, a FROM found WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:], ' '), a FROM found WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN inner_phrases p ON p.lang = s.lang AND p.gram = s.gram
+  WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank,
+       gram AS phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLES["op12_vector_dedup"] = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+groups AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM groups LEFT JOIN counts USING (vec_id)"""
+
+
+def _clusters(k: int, rounds: int) -> str:
+    parts = [
+        f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+centroids_0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT sha256('1:' || vec_id) AS name, v FROM kept ORDER BY name LIMIT {k}))"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""assigned_{i} AS (
+  SELECT vec_id, v, cluster,
+         CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM kept, centroids_{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""cells_{i} AS (
+  SELECT cluster, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n
+  FROM assigned_{i}, unnest(generate_series(1, 64)) AS t(i) GROUP BY cluster, i),
+centroids_{i + 1} AS (
+  SELECT cluster, coalesce(new, c) AS c FROM centroids_{i} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS new FROM cells_{i} GROUP BY cluster)
+  USING (cluster))"""
+            )
+    return "WITH " + ",\n".join(parts)
+
+
+ORACLES["op13_centroid_clusters"] = f"""{_clusters(16, 3)}
+SELECT vec_id, cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM assigned_3 JOIN centroids_3 USING (cluster)"""

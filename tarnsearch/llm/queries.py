@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsearch.llm import decontam, licenses, lines, lm, mixing, neardup, passages, quality, sharding, urls
+from tarnsearch.llm import (
+    centroids,
+    collocations,
+    decontam,
+    licenses,
+    lines,
+    lm,
+    mixing,
+    neardup,
+    passages,
+    quality,
+    sharding,
+    urls,
+    vectordedup,
+)
 from tarnsearch.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -80,6 +94,18 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectordedup.near_duplicate_vectors(_table(spark, folder, "embeddings"))
+
+
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.centroid_clusters(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_substring_dedup": substring_dedup,
@@ -91,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mix_sources,
     "op9_near_dedup": near_dedup,
     "op10_shards": shards,
+    "op11_collocations": phrase_collocations,
+    "op12_vector_dedup": vector_dedup,
+    "op13_centroid_clusters": centroid_clusters,
 }
