@@ -306,7 +306,11 @@ def _pivots(classes: DataFrame, how: VectorDedup, n: int, reach: float) -> dict[
     """Far vectors of a sample that is bounded in rows and bytes, for each width that it holds."""
     width = classes.agg(F.max(F.size("vec"))).first()[0]
     rows = max(1, min(how.sample, SAMPLE_BYTES // (8 * width)))
-    drawn = [r.vec for r in classes.orderBy("h", "k").limit(rows).select("vec").collect()]
+    # The hash leaves about twice the sample, whatever the number of tasks; its lowest are taken.
+    few = classes.where(F.pmod("h", F.lit(n)) < 2 * rows) if n > 2 * rows else classes
+    drawn = [r.vec for r in few.orderBy("h", "k").limit(rows).select("vec").collect()]
+    if not drawn:
+        return {}
     most = max(1, min(how.most_pivots, math.ceil(n / how.residents)))
     found, first = {}, 0
     for at, vectors in sorted(unit_rows(pa.array(drawn, pa.list_(pa.float64()))), key=lambda x: -len(x[0])):
