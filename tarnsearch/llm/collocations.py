@@ -1,7 +1,7 @@
 """Collocations: phrases whose words keep company more than their counts explain.
 
 1. Texts are cut into pieces, pieces into words; blocks of texts become shards: the words of a shard
-   are numbers (one per language and word), 0 stands between pieces.
+   are numbers (one per language and word), 0 stands between pieces. Each shard counts its words.
 2. A shard has an FM-index in both directions, sorted as deep as the longest phrase. A phrase is a pair
    of intervals, one in either index; it is extended to the left through the
    words before the rows of its interval (the Burrows-Wheeler column), to the right through those of
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tarnsearch.plans.work import materialize, work_folder
 
 SHARD_WORDS = 1 << 20
+STEP = 1 << 18
 NO_LANGUAGE = "und"
 SALTS = 32
 
@@ -51,8 +53,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
 
 
-def encode(texts: list[bytes], langs: list[str]) -> dict[str, pa.Array]:
-    """A shard: ``seq`` (numbers of words, 0 between pieces and texts), and per number its language and word."""
+def encode(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """A shard: numbers of words, 0 between pieces and texts; and what 1, 2, ... stand for, as language, tab, word."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     kind = _KIND[data]
     inside = np.zeros(len(data) + 1, bool)
@@ -60,56 +62,64 @@ def encode(texts: list[bytes], langs: list[str]) -> dict[str, pa.Array]:
     starts = np.flatnonzero(inside[1:] & ~inside[:-1])
     ends = np.flatnonzero(~inside[1:] & inside[:-1])
     offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
-    letters = pa.py_buffer(np.ascontiguousarray(data[kind == 0]))
+    letters = pa.py_buffer(data[kind == 0])
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
-    number = words.indices.to_numpy().astype(np.int64)
     # The language of a word is that of its text.
     known = sorted(set(langs))
-    code = np.array([known.index(x) for x in langs], np.int64)
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    lang = code[np.searchsorted(text_ends, starts, "right")] if len(starts) else np.empty(0, np.int64)
+    place = {lang: i for i, lang in enumerate(known)}
+    code = np.array([place[lang] for lang in langs], np.int64)
+    lang = code[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")]
     width = max(1, len(words.dictionary))
-    both, symbol = np.unique(lang * width + number, return_inverse=True)
+    both, symbol = np.unique(lang * width + words.indices.to_numpy(), return_inverse=True)
     # A 0 before every word that a piece begins with.
-    breaks = np.concatenate(([0], np.cumsum(kind == 2)))
+    breaks = np.cumsum(kind == 2)
     first = np.ones(len(starts), bool)
     first[1:] = breaks[starts[1:]] != breaks[starts[:-1]]
-    place = np.arange(len(starts)) + np.cumsum(first)
     seq = np.zeros(len(starts) + int(first.sum()) + 1, np.int32)
-    seq[place] = symbol + 1
-    return {
-        "seq": pa.array(seq),
-        "langs": pa.array(known, pa.string()).take(pa.array(both // width)),
-        "words": words.dictionary.take(pa.array(both % width)).cast(pa.string()),
-    }
+    seq[np.arange(len(starts)) + np.cumsum(first)] = symbol + 1
+    names = pa.array(known, pa.string()).take(pa.array(both // width))
+    return seq, pc.binary_join_element_wise(names, words.dictionary.take(pa.array(both % width)).cast(pa.string()), "\t")
 
 
-SHARD = pa.schema(
-    [("shard", pa.int64()), ("seq", pa.list_(pa.int32())), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string()))]
-)
+GRAMS = "shard bigint, gram string, numbers binary, n bigint"
+_GRAMS = pa.schema([("shard", pa.int64()), ("gram", pa.string()), ("numbers", pa.binary()), ("n", pa.int64())])
+
+
+def _grams(shard: int, gram: pa.Array, numbers: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Columns of phrases: their text, after language and tab, and the numbers of their words, four bytes each."""
+    numbers = np.ascontiguousarray(numbers, np.int32)
+    offsets = np.arange(len(numbers) + 1, dtype=np.int32) * (4 * numbers.shape[1])
+    packed = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+    return [pa.array(np.full(len(numbers), shard)), gram, packed, pa.array(n.astype(np.int64))]
 
 
 def _shards(size: int):
-    """Neighbouring texts as shards of about ``size`` words (a longer text alone)."""
+    """Neighbouring texts as shards of about ``size`` words (a longer text alone): a row of a shard's sequence, and
+    rows of its words."""
+
+    def shard(number: int, texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
+        seq, words = encode(texts, langs)
+        names = ["seq", *_GRAMS.names]
+        whole = pa.ListArray.from_arrays(pa.array([0, len(seq)], pa.int32()), pa.array(seq))
+        nothing = [pa.nulls(1, f.type) for f in _GRAMS][1:]
+        yield pa.RecordBatch.from_arrays([whole, pa.array([number], pa.int64()), *nothing], names)
+        n = np.bincount(seq, minlength=len(words) + 1)[1:]
+        rows = _grams(number, words, np.arange(1, len(words) + 1)[:, None], n)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.list_(pa.int32())), *rows], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held, langs, letters = [], [], 0
-
-        def shard() -> pa.RecordBatch:
-            lists = (pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in encode(held, langs).values())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], schema=SHARD)
-
+        texts, langs, letters = [], [], 0
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang")):
-                held.append(text.as_py() or b"")
+                texts.append(text.as_py() or b"")
                 langs.append(lang.as_py())
-                letters += len(held[-1])
+                letters += len(texts[-1])
                 if letters >= 6 * size:
-                    yield shard()
-                    number, held, langs, letters = number + 1, [], [], 0
-        if held:
-            yield shard()
+                    yield from shard(number, texts, langs)
+                    number, texts, langs, letters = number + 1, [], [], 0
+        if texts:
+            yield from shard(number, texts, langs)
 
     return run
 
@@ -157,27 +167,35 @@ class Index:
     def _ranks(self, column: np.ndarray) -> np.ndarray:
         """For each row how many rows above it hold the same number."""
         order = np.argsort(column, kind="stable")
-        ranks = np.empty(len(column), np.int64)
+        ranks = np.empty(len(column), np.int32)
         ranks[order] = np.arange(len(column)) - self.starts[column[order]]
         return ranks
 
     def _extend(self, column: np.ndarray, ranks: np.ndarray, at: np.ndarray, back: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """All one-word extensions through a column: the phrase, the word, both intervals' starts, the count."""
+        # So many phrases at a time that their rows are about STEP.
+        cuts = np.searchsorted(np.cumsum(n), np.arange(1, int(n.sum()) // STEP + 1) * STEP)
+        parts = []
+        for a, b in zip([0, *cuts], [*cuts, len(n)]):
+            some = self._some(column, ranks, at[a:b], back[a:b], n[a:b])
+            parts.append((some[0] + a, *some[1:]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _some(self, column: np.ndarray, ranks: np.ndarray, at: np.ndarray, back: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         owner = np.repeat(np.arange(len(at)), n)
-        row = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
-        word = column[row].astype(np.int64)
-        order = np.argsort(owner * self.size + word, kind="stable")  # rows stay in order in a group
-        owner, word, row = owner[order], word[order], row[order]
-        first = np.ones(len(owner), bool)
-        first[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
+        row = np.arange(len(owner)) + np.repeat(at - (np.cumsum(n) - n), n)
+        key = owner * self.size + column[row]
+        order = np.argsort(key, kind="stable")  # rows stay in order in a group
+        key, row = key[order], row[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
         head = np.flatnonzero(first)
-        count = np.diff(np.concatenate((head, [len(owner)])))
-        owner, word, row = owner[head], word[head], row[head]
-        near = self.starts[word] + ranks[row]
+        count = np.diff(np.concatenate((head, [len(key)])))
+        owner, word = np.divmod(key[head], self.size)
+        near = self.starts[word] + ranks[row[head]]
         # In the other index extensions lie in the order of their words, from the phrase's own start on.
         before = np.cumsum(count) - count
-        first_of = np.searchsorted(owner, owner)
-        far = back[owner] + before - before[first_of]
+        far = back[owner] + before - before[np.searchsorted(owner, owner)]
         some = word > 0
         return owner[some], word[some], near[some], far[some], count[some]
 
@@ -219,61 +237,62 @@ def extensions(seq: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[both], word[both], longer.n[both]
 
 
-GRAMS = "shard bigint, lang string, gram string, n bigint"
-_GRAMS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of shards with their counts."""
-    for batch in batches:
-        for shard, seq, langs, words in zip(*(batch.column(c) for c in SHARD.names)):
-            n = np.bincount(seq.values.to_numpy(), minlength=len(words) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(n), pa.int64()), langs.values, words.values, pa.array(n)], schema=_GRAMS)
-
-
 def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
     """The longer phrases of one shard, from its phrases that are frequent in the corpus."""
     if not shard.num_rows or not known.num_rows:
         return _GRAMS.empty_table()
-    seq, langs, words = (shard.column(c)[0].values for c in SHARD.names[1:])
-    langs, words = langs.to_pylist(), words.to_pylist()
-    number = {x: i + 1 for i, x in enumerate(zip(langs, words))}
-    grams, of = known.column("gram").to_pylist(), known.column("lang").to_pylist()
-    frequent = np.array([[number[lang, w] for w in gram.split(" ")] for lang, gram in zip(of, grams)], np.int64)
-    owner, word, n = extensions(seq.to_numpy(), frequent)
-    made = [f"{grams[i]} {words[w - 1]}" for i, w in zip(owner.tolist(), word.tolist())]
-    name = shard.column("shard")[0].as_py()
-    return pa.table([pa.array([name] * len(made), pa.int64()), pa.array([of[i] for i in owner.tolist()], pa.string()), pa.array(made, pa.string()), pa.array(n, pa.int64())], schema=_GRAMS)
-
-
-def _summed(grams: DataFrame, least: int, label: str) -> DataFrame:
-    """Shards' phrases that are frequent in the corpus, with their count there, ``a``. A phrase has a row per shard."""
-    total = F.sum("n").over(Window.partitionBy("lang", "gram"))
-    return materialize(grams.withColumn("a", total).where(F.col("a") >= least).drop("n"), label)
+    seq = shard.column("seq").combine_chunks().flatten().to_numpy()
+    grams = known.column("gram").combine_chunks()
+    numbers = np.frombuffer(b"".join(known.column("numbers").to_pylist()), np.int32).reshape(len(grams), -1)
+    owner, word, n = extensions(seq, numbers)
+    # A word's letters are those that any frequent phrase with this last word ends with.
+    last, place = np.unique(numbers[:, -1], return_index=True)
+    place = place[np.searchsorted(last, word)]
+    parts = pc.split_pattern(grams.take(pa.array(np.unique(place))), " " if numbers.shape[1] > 1 else "\t", max_splits=1, reverse=True)
+    letters = pc.list_element(parts, 1).take(pa.array(np.searchsorted(np.unique(place), place)))
+    made = pc.binary_join_element_wise(grams.take(pa.array(owner)), letters, " ")
+    number = shard.column("shard")[0].as_py()
+    return pa.Table.from_arrays(_grams(number, made, np.column_stack((numbers[owner], word)), n), schema=_GRAMS)
+
+
+def _summed(grams: DataFrame, least: int) -> DataFrame:
+    """Shards' phrases that are frequent in the corpus, with their count there, ``a``. A phrase has at most a row per
+    shard. The hash only makes the sorting cheap."""
+    total = F.sum("n").over(Window.partitionBy(F.xxhash64("gram"), "gram"))
+    return materialize(grams.withColumn("a", total).where(F.col("a") >= least).drop("n"), "frequent")
 
 
 def frequent_phrases(docs: DataFrame, how: Collocations, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Two tables: (lang, gram, k, a), the phrases of up to ``words`` words found ``least`` times; (lang, n), all words."""
     spark = docs.sparkSession
     given = docs.select(
-        F.make_valid_utf8(F.col(text)).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
+        F.make_valid_utf8(F.col(text)).cast("binary").alias("text"),
+        F.coalesce(F.make_valid_utf8(F.col(lang).cast("string")), F.lit(NO_LANGUAGE)).alias("lang"),
     )
     folder = work_folder(spark, "shards")
-    kinds = "shard bigint, seq array<int>, langs array<string>, words array<string>"
-    given.mapInArrow(_shards(SHARD_WORDS), kinds).write.option("compression", "zstd").parquet(folder)
-    shards = spark.read.schema(kinds).parquet(folder)
-    # Each shard counts its own words; a language is a few rows a shard.
-    words = materialize(shards.mapInArrow(_words, GRAMS), "words")
-    n = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [_summed(words, how.least, "level")]
+    # Row groups are read whole, so they are kept small.
+    encoded = given.mapInArrow(_shards(SHARD_WORDS), f"seq array<int>, {GRAMS}")
+    encoded.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
+    stored = spark.read.schema(encoded.schema).parquet(folder)
+    shards = stored.where("seq is not null").select("shard", "seq")
+    words = stored.where("gram is not null").drop("seq")
+    levels = [_summed(words, how.least)]
     for _ in range(1, how.words):
         grams = shards.groupBy("shard").cogroup(levels[-1].groupBy("shard")).applyInArrow(_longer, GRAMS)
-        levels.append(_summed(materialize(grams, "grams"), how.least, "level"))
+        levels.append(_summed(grams, how.least))
     table = None
     for k, level in enumerate(levels, 1):
-        level = level.groupBy("lang", "gram").agg(F.max("a").alias("a")).withColumn("k", F.lit(k))
+        level = level.groupBy("gram").agg(F.max("a").alias("a")).withColumn("k", F.lit(k))
         table = level if table is None else table.unionByName(level)
-    return materialize(table, "frequent"), n
+    phrase = F.substring_index("gram", "\t", -1)
+    named = table.withColumn("phrase", phrase).select(_language().alias("lang"), F.col("phrase").alias("gram"), "k", "a")
+    sizes = words.withColumn("phrase", phrase).groupBy(_language().alias("lang")).agg(F.sum("n").alias("n"))
+    return materialize(named, "phrases"), sizes
+
+
+def _language():
+    """What stands before the phrase and its tab."""
+    return F.expr("substring(gram, 1, length(gram) - length(phrase) - 1)")
 
 
 def collocations(docs: DataFrame, how: Collocations | None = None, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -52,7 +52,7 @@ def text(rng, n):
 def test_equals_brute_force(spark, docs, how, size, monkeypatch):
     monkeypatch.setattr(module, "SHARD_WORDS", size)
     rng = random.Random(how.words)
-    rows = [row(i, text(rng, rng.choice([0, 1, 5, 60])), rng.choice(["en", "en", "en", "de", None])) for i in range(120)]
+    rows = [row(i, text(rng, rng.choice([0, 1, 5, 60])), rng.choice(["en", "en", "en", "de", None, "a\tb"])) for i in range(120)]
     found = sorted(tuple(r) for r in collocations(docs(rows), how).collect())
     assert found == brute(rows, how) and found
 
@@ -92,7 +92,8 @@ def test_only_frequent_ends_are_extended():
 
 
 def test_words_of_a_shard():
-    made = encode([b"Ab c.c", b"", b"  ", "É\tab".encode()], ["x", "y", "y", "y"])
-    names = list(zip(made["langs"].to_pylist(), made["words"].to_pylist()))
-    seq = [names[i - 1] if i else None for i in made["seq"].to_pylist()]
-    assert seq == [None, ("x", "ab"), ("x", "c"), None, ("x", "c"), None, ("y", "É"), ("y", "ab"), None]
+    seq, words = encode([b"Ab c.c", b"", b"  ", "É\tab".encode()], ["x", "y", "y", "y"])
+    names = words.to_pylist()
+    assert [names[i - 1] if i else "" for i in seq] == ["", "x\tab", "x\tc", "", "x\tc", "", "y\tÉ", "y\tab", ""]
+    seq, words = encode([b"", b". ,"], ["x", "y"])
+    assert seq.tolist() == [0] and len(words) == 0
