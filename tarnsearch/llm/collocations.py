@@ -11,13 +11,15 @@
    the right extensions of frequent phrases and among the left extensions of them. Shards'
    counts are then summed over the corpus, and the phrases that stay frequent are the next round's.
 
-The rest works on tables of frequent phrases.
+A frequent word's number in the first shard that has it, with that shard's, is its id everywhere, so only
+words travel as text, and only once. The rest works on tables of frequent phrases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,16 +83,8 @@ def encode(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, pa.Array]:
     return seq, pc.binary_join_element_wise(names, words.dictionary.take(pa.array(both % width)).cast(pa.string()), "\t")
 
 
-GRAMS = "shard bigint, gram string, numbers binary, n bigint"
-_GRAMS = pa.schema([("shard", pa.int64()), ("gram", pa.string()), ("numbers", pa.binary()), ("n", pa.int64())])
-
-
-def _grams(shard: int, gram: pa.Array, numbers: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-    """Columns of phrases: their text, after language and tab, and the numbers of their words, four bytes each."""
-    numbers = np.ascontiguousarray(numbers, np.int32)
-    offsets = np.arange(len(numbers) + 1, dtype=np.int32) * (4 * numbers.shape[1])
-    packed = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
-    return [pa.array(np.full(len(numbers), shard)), gram, packed, pa.array(n.astype(np.int64))]
+STORED = "shard bigint, seq binary, length int, gram string, number int, n bigint"
+SHARD_BITS, NUMBER_BITS = 12, 28  # of a task's shards and of a shard's words
 
 
 def _shards(size: int):
@@ -99,16 +93,23 @@ def _shards(size: int):
 
     def shard(number: int, texts: list[bytes], langs: list[str]) -> Iterator[pa.RecordBatch]:
         seq, words = encode(texts, langs)
-        names = ["seq", *_GRAMS.names]
-        whole = pa.ListArray.from_arrays(pa.array([0, len(seq)], pa.int32()), pa.array(seq))
-        nothing = [pa.nulls(1, f.type) for f in _GRAMS][1:]
-        yield pa.RecordBatch.from_arrays([whole, pa.array([number], pa.int64()), *nothing], names)
-        n = np.bincount(seq, minlength=len(words) + 1)[1:]
-        rows = _grams(number, words, np.arange(1, len(words) + 1)[:, None], n)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.list_(pa.int32())), *rows], names)
+        names = ["shard", "seq", "length", "gram", "number", "n"]
+        squeezed = pa.compress(seq.tobytes(), "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([squeezed], pa.binary()), pa.array([len(seq)], pa.int32())]
+            + [pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())],
+            names,
+        )
+        k = len(words)
+        n = np.bincount(seq, minlength=k + 1)[1:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, number)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), words]
+            + [pa.array(np.arange(1, k + 1, dtype=np.int32)), pa.array(n)],
+            names,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << SHARD_BITS
         texts, langs, letters = [], [], 0
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang")):
@@ -237,29 +238,39 @@ def extensions(seq: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[both], word[both], longer.n[both]
 
 
-def _longer(shard: pa.Table, known: pa.Table) -> pa.Table:
-    """The longer phrases of one shard, from its phrases that are frequent in the corpus."""
-    if not shard.num_rows or not known.num_rows:
-        return _GRAMS.empty_table()
-    seq = shard.column("seq").combine_chunks().flatten().to_numpy()
-    grams = known.column("gram").combine_chunks()
-    numbers = np.frombuffer(b"".join(known.column("numbers").to_pylist()), np.int32).reshape(len(grams), -1)
-    owner, word, n = extensions(seq, numbers)
-    # A word's letters are those that any frequent phrase with this last word ends with.
-    last, place = np.unique(numbers[:, -1], return_index=True)
-    place = place[np.searchsorted(last, word)]
-    parts = pc.split_pattern(grams.take(pa.array(np.unique(place))), " " if numbers.shape[1] > 1 else "\t", max_splits=1, reverse=True)
-    letters = pc.list_element(parts, 1).take(pa.array(np.searchsorted(np.unique(place), place)))
-    made = pc.binary_join_element_wise(grams.take(pa.array(owner)), letters, " ")
-    number = shard.column("shard")[0].as_py()
-    return pa.Table.from_arrays(_grams(number, made, np.column_stack((numbers[owner], word)), n), schema=_GRAMS)
-
+def _ids(k: int) -> list[str]:
+    """Columns of the words of a phrase."""
+    return [f"w{i}" for i in range(1, k + 1)]
+
+
+def _longer(k: int):
+    """Phrases of k words of one shard, from its words and its phrases of k - 1 words that are frequent in the corpus."""
+    kinds = pa.schema([("shard", pa.int64()), *((c, pa.int64()) for c in _ids(k)), ("n", pa.int64())])
+
+    def run(shard: pa.Table, known: pa.Table) -> pa.Table:
+        if not shard.num_rows or not known.num_rows:
+            return kinds.empty_table()
+        squeezed, length = shard.column("seq")[0].as_py(), shard.column("length")[0].as_py()
+        seq = np.frombuffer(pa.decompress(squeezed, 4 * length, "zstd"), np.int32)
+        words = known.filter(known.column("number").is_valid())
+        number, ids = words.column("number").to_numpy(), words.column("w1").to_numpy()
+        if k == 2:
+            frequent = number[:, None]
+        else:
+            phrases = known.filter(known.column("number").is_null())
+            if not phrases.num_rows:
+                return kinds.empty_table()
+            order = np.argsort(ids)
+            sides = [phrases.column(c).to_numpy() for c in _ids(k - 1)]
+            frequent = np.column_stack([number[order][np.searchsorted(ids[order], w)] for w in sides])
+        owner, word, n = extensions(seq, frequent)
+        id_of = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
+        id_of[number] = ids
+        made = [id_of[frequent[owner, i]] for i in range(k - 1)] + [id_of[word]]
+        name = np.full(len(n), shard.column("shard")[0].as_py())
+        return pa.Table.from_arrays([pa.array(x.astype(np.int64)) for x in (name, *made, n)], schema=kinds)
 
-def _summed(grams: DataFrame, least: int) -> DataFrame:
-    """Shards' phrases that are frequent in the corpus, with their count there, ``a``. A phrase has at most a row per
-    shard. The hash only makes the sorting cheap."""
-    total = F.sum("n").over(Window.partitionBy(F.xxhash64("gram"), "gram"))
-    return materialize(grams.withColumn("a", total).where(F.col("a") >= least).drop("n"), "frequent")
+    return run
 
 
 def frequent_phrases(docs: DataFrame, how: Collocations, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -271,23 +282,38 @@ def frequent_phrases(docs: DataFrame, how: Collocations, text: str = "text", lan
     )
     folder = work_folder(spark, "shards")
     # Row groups are read whole, so they are kept small.
-    encoded = given.mapInArrow(_shards(SHARD_WORDS), f"seq array<int>, {GRAMS}")
+    encoded = given.mapInArrow(_shards(SHARD_WORDS), STORED)
     encoded.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
     stored = spark.read.schema(encoded.schema).parquet(folder)
-    shards = stored.where("seq is not null").select("shard", "seq")
-    words = stored.where("gram is not null").drop("seq")
-    levels = [_summed(words, how.least)]
-    for _ in range(1, how.words):
-        grams = shards.groupBy("shard").cogroup(levels[-1].groupBy("shard")).applyInArrow(_longer, GRAMS)
-        levels.append(_summed(grams, how.least))
-    table = None
-    for k, level in enumerate(levels, 1):
-        level = level.groupBy("gram").agg(F.max("a").alias("a")).withColumn("k", F.lit(k))
-        table = level if table is None else table.unionByName(level)
-    phrase = F.substring_index("gram", "\t", -1)
-    named = table.withColumn("phrase", phrase).select(_language().alias("lang"), F.col("phrase").alias("gram"), "k", "a")
-    sizes = words.withColumn("phrase", phrase).groupBy(_language().alias("lang")).agg(F.sum("n").alias("n"))
-    return materialize(named, "phrases"), sizes
+    shards = stored.where("seq is not null").select("shard", "seq", "length")
+    counted = stored.where("gram is not null").select("shard", "gram", "number", "n")
+    # A word has at most a row per shard. The hash only makes the sorting cheap.
+    same = Window.partitionBy(F.xxhash64("gram"), "gram")
+    own = F.shiftleft("shard", NUMBER_BITS) + F.col("number")
+    words = counted.withColumn("a", F.sum("n").over(same)).withColumn("w1", F.min(own).over(same))
+    words = materialize(
+        words.where(F.col("a") >= how.least).select("shard", "number", "w1", "a", F.when(F.col("w1") == own, F.col("gram")).alias("gram")),
+        "words",
+    )
+    named = words.where("gram is not null").withColumn("phrase", F.substring_index("gram", "\t", -1))
+    named = named.select("w1", _language().alias("lang"), F.col("phrase").alias("gram"), "a")
+    tables = [named.select("lang", "gram", F.lit(1).alias("k"), "a")]
+    here = words.select("shard", "number", "w1")
+    known = here
+    for k in range(2, how.words + 1):
+        ids = _ids(k)
+        kinds = "shard bigint, " + ", ".join(f"{c} bigint" for c in ids) + ", n bigint"
+        grams = shards.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_longer(k), kinds)
+        total = F.sum("n").over(Window.partitionBy(*ids))
+        level = materialize(grams.withColumn("a", total).where(F.col("a") >= how.least).drop("n"), "phrases")
+        known = here.unionByName(level.drop("a"), allowMissingColumns=True)
+        spelt = level.groupBy(*ids).agg(F.max("a").alias("a"))
+        for i, c in enumerate(ids):
+            own_lang = ["lang"] if i == 0 else []
+            spelt = spelt.join(named.select(F.col("w1").alias(c), *own_lang, F.col("gram").alias(f"g{i}")), c)
+        tables.append(spelt.select("lang", F.concat_ws(" ", *(f"g{i}" for i in range(k))).alias("gram"), F.lit(k).alias("k"), "a"))
+    sizes = counted.withColumn("phrase", F.substring_index("gram", "\t", -1)).groupBy(_language().alias("lang")).agg(F.sum("n").alias("n"))
+    return materialize(reduce(DataFrame.unionByName, tables), "frequent"), sizes
 
 
 def _language():
