@@ -55,6 +55,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = np.arange(97, 123)
 
 
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (not negative) in ascending order and their places, equal ones by place."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 62:
+        place = np.argsort(key, kind="stable")
+        return key[place], place
+    both = key.astype(np.int64) << bits
+    both |= np.arange(len(key))
+    both.sort()  # plain numbers: several times as quick as sorting places
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _distinct(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below ``size`` in ascending order, and which of them each key is."""
+    if size > 8 * len(key) + 1024:
+        return np.unique(key, return_inverse=True)
+    there = np.zeros(size, bool)
+    there[key] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+
+
 def encode(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, pa.Array]:
     """A shard: numbers of words, 0 between pieces and texts; and what 1, 2, ... stand for, as language, tab, word."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
@@ -72,7 +93,7 @@ def encode(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, pa.Array]:
     code = np.array([place[lang] for lang in langs], np.int64)
     lang = code[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")]
     width = max(1, len(words.dictionary))
-    both, symbol = np.unique(lang * width + words.indices.to_numpy(), return_inverse=True)
+    both, symbol = _distinct(lang * width + words.indices.to_numpy(), len(known) * width)
     # A 0 before every word that a piece begins with.
     breaks = np.cumsum(kind == 2)
     first = np.ones(len(starts), bool)
@@ -140,14 +161,19 @@ class Phrases:
 def _sorted_places(seq: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` numbers that start there (0 ends them)."""
     rank = seq.astype(np.int64)
-    padded = np.concatenate((seq, np.zeros(depth, seq.dtype))).astype(np.int64)
+    padded = np.concatenate((seq, np.zeros(depth, seq.dtype)))
     width = int(seq.max(initial=0)) + 1
-    open_ = seq != 0
     for d in range(1, depth):
-        open_ = open_ & (padded[d : d + len(seq)] != 0)
-        key = rank * width + np.where(open_, padded[d : d + len(seq)], 0)
-        rank = np.unique(key, return_inverse=True)[1] if d < depth - 1 else key
-    return np.argsort(rank, kind="stable")
+        following = padded[d : d + len(seq)].astype(np.int64)
+        if d > 1:
+            for e in range(1, d):
+                following[padded[e : e + len(seq)] == 0] = 0
+        following[seq == 0] = 0
+        key, place = in_order(rank * width + following)
+        if d < depth - 1:
+            rank = np.empty(len(seq), np.int64)
+            rank[place] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    return place if depth > 1 else in_order(rank)[1]
 
 
 class Index:
@@ -167,9 +193,9 @@ class Index:
 
     def _ranks(self, column: np.ndarray) -> np.ndarray:
         """For each row how many rows above it hold the same number."""
-        order = np.argsort(column, kind="stable")
+        word, row = in_order(column)
         ranks = np.empty(len(column), np.int32)
-        ranks[order] = np.arange(len(column)) - self.starts[column[order]]
+        ranks[row] = np.arange(len(column)) - self.starts[word]
         return ranks
 
     def _extend(self, column: np.ndarray, ranks: np.ndarray, at: np.ndarray, back: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -185,9 +211,8 @@ class Index:
     def _some(self, column: np.ndarray, ranks: np.ndarray, at: np.ndarray, back: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         owner = np.repeat(np.arange(len(at)), n)
         row = np.arange(len(owner)) + np.repeat(at - (np.cumsum(n) - n), n)
-        key = owner * self.size + column[row]
-        order = np.argsort(key, kind="stable")  # rows stay in order in a group
-        key, row = key[order], row[order]
+        key, order = in_order(owner * self.size + column[row])  # rows stay in order in a group
+        row = row[order]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         head = np.flatnonzero(first)
@@ -228,14 +253,18 @@ def extensions(seq: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nd
     phrase begins with, the word that follows, and the count.
     """
     depth = frequent.shape[1] + 1
-    used = np.zeros(int(seq.max(initial=0)) + 1, bool)
-    used[frequent.ravel()] = True
-    index = Index(np.where(used[seq], seq, 0), depth)
-    phrases = index.find(frequent)
+    # Only words of frequent phrases stay, with smaller numbers; others separate like piece ends.
+    used = np.zeros(int(seq.max(initial=0)) + 1, np.int32)
+    used[frequent.ravel()] = 1
+    kept = np.flatnonzero(used)
+    used[kept] = np.arange(1, len(kept) + 1)
+    index = Index(used[seq], depth)
+    phrases = index.find(used[frequent])
     owner, word, longer = index.right(phrases)
-    ends = index.left(phrases)[2]
-    both = np.isin(longer.at, ends.at)
-    return owner[both], word[both], longer.n[both]
+    ended = np.zeros(len(seq) + 1, bool)
+    ended[index.left(phrases)[2].at] = True
+    both = ended[longer.at]
+    return owner[both], kept[word[both] - 1], longer.n[both]
 
 
 def _ids(k: int) -> list[str]:
