@@ -10,10 +10,11 @@
 4. Pairs are confirmed on their texts' full sets; links make components.
 5. A bucket that still holds several components may hide a link that its star did not show. Its
    documents get further, sharper buckets: ``COMBINED`` bands at once, in which dissimilar
-   documents seldom meet, with ``CENTRES`` centres each. Rounds go on, with new centres, until no
-   bucket holds several components or a round finds no link.
+   documents seldom meet, with ``CENTRES`` centres each. A component found before is stood for, in each
+   bucket and draw, by one of its documents. Rounds go on, with new draws, until no bucket holds
+   several components or ``IDLE`` rounds in a row find no link.
 
-Every round costs at most a pair per document, bucket and centre, whatever the groups' sizes.
+Every round costs at most a pair per component, bucket and centre, whatever the groups' sizes.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from tarnsearch.plans.work import materialize
 COMBINED = 3
 SHARP_BUCKETS = 100
 CENTRES = 4  # of a sharp bucket, in one round
+IDLE = 2
 
 
 @dataclass(frozen=True)
@@ -128,21 +130,26 @@ def _open_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame, turn: int, how: NearDup) -> DataFrame:
-    """The centres of every bucket with the rows that belong to other components."""
-    draws = F.sequence(F.lit(1), F.lit(CENTRES if turn else 1))
-    stars = (
-        rows.withColumn("d", F.explode(draws))
-        .withColumn("draw", F.xxhash64("id", "key", "d", F.lit(turn)))
-        .groupBy("key", "d")
-        .agg(F.min_by("id", "draw").alias("c"), F.min_by("label", "draw").alias("c_label"), F.min_by("n", "draw").alias("c_n"))
+    """The centres of every bucket with one row of each other component in it.
+
+    For each draw a component is stood for by its row of the least hash in the bucket, and the
+    least of these is the centre; the next round draws anew. So a bucket gives no more pairs than
+    it holds components, times the draws, however many rows a component has there.
+    """
+    draws = range(1, 1 + (CENTRES if turn else 1))
+    for d in draws:
+        rows = rows.withColumn(f"draw{d}", F.xxhash64("id", "key", F.lit(d), F.lit(turn)))
+    stand = rows.groupBy("key", "label").agg(
+        *(F.min_by(c, f"draw{d}").alias(f"{c}{d}") for d in draws for c in ("id", "n")),
+        *(F.min(f"draw{d}").alias(f"draw{d}") for d in draws),
     )
-    return (
-        rows.join(stars.drop("d").distinct(), "key")
-        .where("label <> c_label")
-        .where(f"100 * least(n, c_n) >= {how.percent} * greatest(n, c_n)")
-        .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-        .distinct()
+    centres = stand.groupBy("key").agg(
+        *(F.min_by(c, f"draw{d}").alias(f"{name}{d}") for d in draws for c, name in ((f"id{d}", "c_id"), (f"n{d}", "c_n"), ("label", "c_label")))
     )
+    pair = "struct(least(id{0}, c_id{0}) AS a, greatest(id{0}, c_id{0}) AS b, label <> c_label{0} AND "
+    pair += "100 * least(n{0}, c_n{0}) >= {1} * greatest(n{0}, c_n{0}) AS fits)"
+    met = F.expr("filter(array(" + ", ".join(pair.format(d, how.percent) for d in draws) + "), p -> p.fits)")
+    return stand.join(centres, "key").select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _sharp_keys(bands: int) -> Column:
@@ -183,7 +190,7 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
     links = _same_document(worded, classes)
     labels = materialize(components(links), "labels")
     tested = None
-    turn = 0
+    turn = idle = 0
     while rows.head(1):
         pairs = _star_pairs(rows, turn, how)
         if tested is not None:
@@ -193,7 +200,12 @@ def near_duplicates(docs: DataFrame, how: NearDup | None = None, text: str = "te
         found = pairs.join(left, "a").join(right, "b").where(_linked(how)("text_a", "text_b")).select("a", "b")
         found = materialize(found, "links")
         if turn and not found.head(1):
-            break
+            idle += 1
+            if idle == IDLE:
+                break
+            turn += 1
+            continue
+        idle = 0
         # The components so far are stars: fewer rows than the links they came from, and nearer to the end.
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = materialize(components(stars.union(found)), "labels")
