@@ -4,7 +4,7 @@ A line's key is the line without white space at its ends, A-Z lower-cased; keys
 by their MD5. Documents per key are counted with partial aggregation, so the most frequent
 line of a corpus is one row per task. Where a document loses lines is found by joining its keys
 with the keys over the threshold; the few hottest of those (at most ``HOT`` of them can hold more than
-1/HOT of all keys) are broadcast, the rest is shuffled. Only positions travel; the texts cross
+1/HOT of all lines) are broadcast, the rest is shuffled. Only positions travel; the texts cross
 the network once, to meet their positions.
 """
 
@@ -57,13 +57,13 @@ def drop_common_lines(docs: DataFrame, how: CommonLine | None = None, text: str
     )
     common = materialize(
         lines.groupBy("key")
-        .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
+        .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"), F.count("*").alias("places"))
         .where(F.col("n") >= how.min_documents),
         "common",
     )
     total = lines.count()
-    hot = common.where(F.col("n") * HOT > total).select("key", "keeper")
-    rest = common.where(F.col("n") * HOT <= total).select("key", "keeper")
+    hot = common.where(F.col("places") * HOT > total).select("key", "keeper")
+    rest = common.where(F.col("places") * HOT <= total).select("key", "keeper")
     marked = lines.join(
         F.broadcast(hot.select("key", F.col("keeper").alias("hot_keeper"))), "key", "left"
     )
@@ -79,7 +79,8 @@ def drop_common_lines(docs: DataFrame, how: CommonLine | None = None, text: str
     split = F.split("text", "\n", -1)
     n_lines = F.size(split)
     left = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
+    # The lines are bound as the element of an array of one: split again for each of them, long texts would never end.
+    kept = F.get(F.transform(F.array(split), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
     return docs.join(gone, ["id", "digest"], "left").select(
         "doc_id",
         n_lines.cast("bigint").alias("n_lines"),

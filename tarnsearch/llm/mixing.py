@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm.text import SPACED_WORD, packed, unpacked
+from tarnsearch.llm.text import SPACED_WORD, unpacked
 from tarnsearch.plans.work import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,28 +93,30 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
 
 
+# A distinct row that is undecided: ``p`` is the chance of one more copy, ``known`` what it has for sure.
+_UNIT = "struct<h: bigint, h2: bigint, id: bigint, size: bigint, n: bigint, known: bigint, p: double>"
+
+
 def _settle(seed: int, level: int) -> Column:
-    """Fold a node's documents: ``done`` holds the decided ones, ``left`` the one undecided, if any."""
-    unit = "struct<id: bigint, size: bigint, n: bigint, low: bigint, p: double>"
+    """Fold a node's rows: ``done`` holds the decided ones, ``left`` the one undecided, if any."""
     start = F.struct(
-        F.lit(None).cast(unit).alias("left"), F.array().cast(f"array<{unit}>").alias("done")
+        F.lit(None).cast(_UNIT).alias("left"), F.array().cast(f"array<{_UNIT}>").alias("done")
     )
 
     def with_p(u: Column, p: Column) -> Column:
-        return F.struct(u["id"].alias("id"), u["size"].alias("size"), u["n"].alias("n"), u["low"].alias("low"), p.alias("p"))
+        return F.struct(*(u[c].alias(c) for c in ("h", "h2", "id", "size", "n", "known")), p.alias("p"))
 
     def meet(acc: Column, new: Column) -> Column:
         old = acc["left"]
-        a, b = old["size"] * old["n"] * old["p"], new["size"] * new["n"] * new["p"]
-        room_a = old["size"] * old["n"] * (1 - old["p"])
-        room_b = new["size"] * new["n"] * (1 - new["p"])
+        a, b = old["size"] * old["p"], new["size"] * new["p"]
+        room_a, room_b = old["size"] * (1 - old["p"]), new["size"] * (1 - new["p"])
         to_new, to_old = F.least(a, room_b), F.least(b, room_a)
-        give = _uniform(F.lit(seed), F.lit(level), old["id"], old["size"], new["id"], new["size"]) * (to_new + to_old) < to_old
-        old_p = F.when(give, F.when(a <= room_b, 0.0).otherwise((a - to_new) / (old["size"] * old["n"]))).otherwise(
-            F.when(b >= room_a, 1.0).otherwise((a + to_old) / (old["size"] * old["n"]))
+        give = _uniform(F.lit(seed), F.lit(level), old["h"], new["h"]) * (to_new + to_old) < to_old
+        old_p = F.when(give, F.when(a <= room_b, 0.0).otherwise((a - to_new) / old["size"])).otherwise(
+            F.when(b >= room_a, 1.0).otherwise((a + to_old) / old["size"])
         )
-        new_p = F.when(give, F.when(a >= room_b, 1.0).otherwise((b + to_new) / (new["size"] * new["n"]))).otherwise(
-            F.when(b <= room_a, 0.0).otherwise((b - to_old) / (new["size"] * new["n"]))
+        new_p = F.when(give, F.when(a >= room_b, 1.0).otherwise((b + to_new) / new["size"])).otherwise(
+            F.when(b <= room_a, 0.0).otherwise((b - to_old) / new["size"])
         )
         return F.struct(with_p(old, old_p).alias("old"), with_p(new, new_p).alias("new"))
 
@@ -136,23 +138,26 @@ def _settle(seed: int, level: int) -> Column:
     return F.aggregate("units", start, step)
 
 
-def copies(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """From doc_id, source, size rows and their sources' targets: per distinct row its number of copies.
+def copies(rows: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """From rows (source, id, size and two hashes of all they hold) and their sources' targets: per distinct row
+    the number ``n`` of its equals and that of the copies of them all, ``total``.
 
-    Equal rows are one unit with ``n`` times the size and get the same number.
+    Of n equal rows each gets floor(f) copies and floor(n p) of them one more at once; only the rest, less
+    than a copy of one row, is left to chance.
     """
     share = F.col("target") / F.col("source_size")
     units = (
-        docs.groupBy("source", F.col("doc_id").alias("id"), "size")
+        rows.groupBy("source", "h", "h2", "id", "size")
         .agg(F.count("*").alias("n"))
         .join(targets, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("f", F.when(F.col("source_size") > 0, F.least(share, F.lit(float(MOST)))).otherwise(F.lit(0.0)))
         .withColumn("low", F.floor("f"))
-        .withColumn("p", F.when(F.col("size") > 0, F.col("f") - F.col("low")).otherwise(F.lit(0.0)))
+        .withColumn("more", F.when(F.col("size") > 0, F.col("n") * (F.col("f") - F.col("low"))).otherwise(F.lit(0.0)))
+        .withColumn("known", F.col("n") * F.col("low") + F.floor("more"))
+        .withColumn("p", F.col("more") - F.floor("more"))
     )
-    unit = F.struct("id", "size", "n", "low", "p").alias("unit")
-    first = materialize(units.select("source", unit), "units")
+    first = materialize(units.select("source", F.struct("h", "h2", "id", "size", "n", "known", "p").alias("unit")), "units")
     decided = [first.where("unit.p <= 0").select("source", "unit.*")]
     open_ = first.where("unit.p > 0")
     level = 0
@@ -160,7 +165,7 @@ def copies(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     while largest:
         n_nodes = F.greatest(F.lit(1), F.ceil(F.col("n_open") / FAN_IN))
         sized = open_.groupBy("source").agg(F.count("*").alias("n_open")).withColumnRenamed("source", "_source")
-        node = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "unit.id", "unit.size"), F.col("n_open_nodes"))
+        node = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "unit.h"), F.col("n_open_nodes"))
         nodes = (
             open_.join(
                 sized.select("_source", n_nodes.alias("n_open_nodes")), F.col("source").eqNullSafe(F.col("_source"))
@@ -171,22 +176,31 @@ def copies(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
         settled = materialize(nodes.select("source", _settle(seed, level).alias("s")), "settled")
         decided.append(settled.select("source", F.explode("s.done").alias("u")).select("source", "u.*"))
         open_ = settled.where("s.left is not null").select("source", F.col("s.left").alias("unit"))
-        if largest <= FAN_IN:  # each source was one node: its last document is decided alone
-            last = F.when(_uniform(F.lit(seed), "unit.id", "unit.size") < F.col("unit.p"), 1.0).otherwise(0.0)
-            decided.append(open_.select("source", "unit.id", "unit.size", "unit.n", "unit.low", last.alias("p")))
+        if largest <= FAN_IN:  # each source was one node: its last row is decided alone
+            last = F.when(_uniform(F.lit(seed), "unit.h") < F.col("unit.p"), 1.0).otherwise(0.0)
+            decided.append(open_.select("source", *(f"unit.{c}" for c in ("h", "h2", "id", "size", "n", "known")), last.alias("p")))
             break
         level += 1
         largest = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     return reduce(DataFrame.union, decided).select(
-        "source", F.col("id").alias("doc_id"), "size", "n", (F.col("low") + F.col("p").cast("bigint")).alias("copies")
+        "source", "h", "h2", F.col("id").alias("doc_id"), "size", "n", (F.col("known") + F.col("p").cast("bigint")).alias("total")
     )
 
 
+def _hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of all columns of a row: equal rows are one for them."""
+    whole_row = [F.to_json(c) if "map<" in kind else F.col(c) for c, kind in docs.dtypes]
+    return F.xxhash64(*whole_row), F.xxhash64(F.lit(1), *whole_row)
+
+
 def _sized(docs: DataFrame, text: str) -> DataFrame:
+    h, h2 = _hashes(docs)
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("doc_id").cast("bigint").alias("id"),
         F.col("source").cast("string").alias("source"),
         word_count(text).alias("size"),
+        h.alias("h"),
+        h2.alias("h2"),
     )
 
 
@@ -194,44 +208,34 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0, text
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     A null text has no words; a document without words is never copied beyond the whole
-    part of its source's share. Null is a source, and an id, of its own.
+    part of its source's share. Null is a source, and an id, of its own. Of rows that are equal in all columns
+    some may be taken once more than others. A source's taken words differ from its target by less than
+    the words of one row. An empty table gives no rows.
     """
     sized = materialize(_sized(docs, text), "sized")
     targets = materialize(source_targets(sized, weights), "targets")
     renamed = targets.withColumnRenamed("source", "_source")
+    each = F.expr("total div n + CASE WHEN i <= total % n THEN 1 ELSE 0 END")
     return (
         copies(sized, renamed, seed)
         .join(renamed, F.col("source").eqNullSafe(F.col("_source")))
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
-            F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_n"),
-        )
-        .drop("_n")
+        .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .withColumn("copies", each)
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0, text: str = "text") -> DataFrame:
-    """The documents as often as the mix takes them, all columns as they were."""
+    """The documents as often as the mix takes them, all columns as they were.
+
+    Equal rows are one before they are shuffled, and come out as often as they are taken together;
+    else as in ``mix``. Clashing names do no harm: rows travel packed.
+    """
     sized = materialize(_sized(docs, text), "sized")
     targets = materialize(source_targets(sized, weights), "targets").withColumnRenamed("source", "_source")
-    chosen = materialize(
-        copies(sized, targets, seed)
-        .where("copies > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")),
-        "copies",
-    )
-    rows = packed(docs)
-    same = (
-        F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-        & F.col("_row.source").cast("string").eqNullSafe(F.col("_source"))
-        & (word_count(F.col(f"_row.{text}")) == F.col("_size"))
-    )
-    return unpacked(
-        rows.join(chosen, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    )
+    chosen = copies(sized, targets, seed).where("total > 0").select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.col("total").alias("_total"))
+    h, h2 = _hashes(docs)
+    rows = docs.select(F.struct("*").alias("_row"), h.alias("_h"), h2.alias("_h2"))
+    distinct = rows.groupBy("_h", "_h2").agg(F.first("_row").alias("_row"))
+    taken = distinct.join(materialize(chosen, "copies"), ["_h", "_h2"])
+    return unpacked(taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_total").cast("int")))))

@@ -73,3 +73,17 @@ def test_odd_rows(odd, empty):
     assert found.count() == len(ODD) and found.where("n_base > 0").count() == 0
     assert {r.n_words for r in found.where("doc_id in (1, 2, 3)").collect()} == {0}
     assert scan_licenses(empty).count() == 0
+
+
+def test_long_text_that_loses_lines(docs):
+    """Time grows with the lines, not with their square."""
+    import time
+
+    shared = [f"a line that three documents hold {i}" for i in range(50_000)]
+    text = "\n".join(x for i, line in enumerate(shared) for x in (line, f"own {i}"))
+    rows = [row(1, text), row(2, "\n".join(shared)), row(3, "\n".join(shared))]
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in drop_common_lines(docs(rows)).collect()}
+    assert time.perf_counter() - start < 30
+    assert (out[1].n_lines, out[1].n_dropped) == (100_000, 50_000)
+    assert out[1].text == "\n".join(f"own {i}" for i in range(50_000)) and out[3].text == rows[2][1] and out[2].text == ""

@@ -57,6 +57,23 @@ def test_taken_words_meet_targets(docs):
     assert {(r.doc_id, r.taken) for r in out} != {(r.doc_id, r.taken) for r in other}
 
 
+def test_repeated_rows_meet_targets(docs):
+    """Equal rows share their copies out, whether they have an id or not."""
+    rows = [row(1, prose(0, 40), "en", "a")] * 1000 + [row(10 + i, prose(i, 5 + i), "en", "a") for i in range(100)]
+    rows += [row(None, prose(3, 7), "en", None)] * 300 + [row(2000 + i, prose(i, 50), "en", "b") for i in range(200)]
+    frame = docs(rows)
+    taken, targets = Counter(), {}
+    for r in mix(frame).collect():
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - t) <= 104 for s, t in targets.items())
+    words = Counter()
+    for r in mixed_documents(frame).collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+
+
 def test_expectations_are_kept(docs):
     """Over many sources alike, documents are taken in proportion to their source's share."""
     rows = [row(100 * s + i, prose(i, 10 + i % 5), "en", f"s{s:03}") for s in range(300) for i in range(12)]

@@ -37,3 +37,11 @@ def test_stages_take_odd_and_empty_tables(spark, docs, name, stage):
     assert stage(spark, docs([]), FOLDER).count() == 0
     assert set(docs(ODD).columns) <= set(stage(spark, docs(ODD), FOLDER).columns)
     stage(spark, docs(ODD), FOLDER).count()
+
+
+def test_columns_of_the_same_names_stay(spark, odd):
+    from pyspark.sql import functions as F
+
+    given = odd.withColumn("shard", F.lit("mine")).withColumn("Slot", F.lit("mine"))
+    out = corpus_pipeline.shards(spark, given, FOLDER)
+    assert out.columns == [*given.columns, "shard__", "slot_"] and out.where("shard <> 'mine'").count() == 0
