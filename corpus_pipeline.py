@@ -34,9 +34,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with their shard and their place in it; columns of those names give way."""
-    placed = sharding.sharded(docs.drop("shard", "slot"), SHARDS, carry=True)
-    return placed.select("_row.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """Rows with their shard and their place in it, in columns ``shard`` and ``slot``; where a table
+    has columns of those names, ours end in as many underscores as it takes."""
+    names = []
+    for name in ("shard", "slot"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        names.append(name)
+    placed = sharding.sharded(docs, SHARDS, carry=True)
+    return placed.select("_row.*", F.col("_shard").alias(names[0]), F.col("_slot").alias(names[1]))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
