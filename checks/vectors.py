@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, stored_vectors
 from tarnsearch.functions.vectors import l2_normalize, rounded
-from tarnsearch.operators import dense
+from tarnsearch.operators import dense, inverted
 from tarnsearch.operators.approximate import lsh_topk
 from tarnsearch.plans.work import work_folder
 from tarnsearch.sources.tables import read_vectors, write_vectors
@@ -141,3 +141,28 @@ def index_roundtrip(spark, folder):
     path = work_folder(spark, "vectors")
     write_vectors(stored_vectors(spark, folder), path)
     return _elements(read_vectors(spark, path))
+
+
+_EXACT = _nearest("list_inner_product(centre::DOUBLE[], embedding::DOUBLE[])", 10)
+
+
+@query("vector_topk_bounded", _EXACT)
+def vector_topk_bounded(spark, folder):
+    """The exact best ten by way of the inverted file: cells that cannot hold better ones stay unread."""
+    vectors = stored_vectors(spark, folder)
+    index = inverted.build_inverted_file(vectors, work_folder(spark, "inverted"))
+    return inverted.exact_topk(index, centres(vectors), k=10, probes=4)
+
+
+@query("vector_topk_inverted", f"SELECT *, true AS recall_reached FROM ({_EXACT})")
+def vector_topk_inverted(spark, folder):
+    """The exact best ten, and whether probing some of the cells finds nine in ten of them."""
+    vectors = stored_vectors(spark, folder)
+    asked = centres(vectors)
+    index = inverted.build_inverted_file(vectors, work_folder(spark, "inverted"))
+    probes = inverted.calibrate(index, asked, k=10, recall=0.95)
+    found = inverted.topk(index, asked, k=10, probes=probes).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    exact = dense.topk(vectors, asked, k=10).join(found, ["query_id", "chunk_id"], "left")
+    # One row: the share of the exact hits that were found.
+    share = exact.agg((F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recall_reached"))
+    return exact.drop("found").join(F.broadcast(share))

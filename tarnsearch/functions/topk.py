@@ -28,10 +28,13 @@ class RunningTopK:
         self._waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._n_waiting = 0
 
-    def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Take a (rows x questions) block; minus infinity marks pairs to leave out."""
+    def offer(self, ids: np.ndarray, scores: np.ndarray, questions: np.ndarray | None = None) -> None:
+        """Take a (rows x questions) block; minus infinity marks pairs to leave out.
+
+        ``questions`` names the block's questions where it does not hold them all.
+        """
         rows = len(ids)
-        floor = self.floor
+        floor = self.floor if questions is None else self.floor[questions]
         if rows > self.k:
             kth = np.partition(scores, rows - self.k, axis=0)[rows - self.k]
             floor = np.maximum(floor, kth)
@@ -39,7 +42,8 @@ class RunningTopK:
         row, question = np.nonzero((scores >= floor) & ~np.isneginf(scores))
         if len(row) == 0:
             return
-        self._waiting.append((question, ids[row], scores[row, question]))
+        named = question if questions is None else questions[question]
+        self._waiting.append((named, ids[row], scores[row, question]))
         self._n_waiting += len(row)
         if self._n_waiting >= self.k * self.n_questions:
             self._settle()

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.operators.dense import best_per_question, grid_hits, local_hits, question_matrix
+from tarnsearch.operators.dense import all_hits, question_slices
+from tarnsearch.operators.merge import merge_best
 from tarnsearch.params import BROADCAST_VECTOR_BYTES, K_DENSE, SCORE_DIGITS, positive
 
 
@@ -29,7 +30,7 @@ def lsh_topk(
 
     Buckets are compared inside the tasks that hold the vectors. Nothing is shuffled by
     bucket, so one holding a third of all vectors makes no task larger than the others.
-    Questions beyond ``max_bytes`` meet the vectors in a grid of cells, with the same result.
+    Questions beyond ``max_bytes`` come in slices, with the same result.
     """
     positive("k_dense", k)
     positive("tables", tables)
@@ -51,9 +52,4 @@ def lsh_topk(
 
         return pairs
 
-    small = question_matrix(questions, max_bytes, dim)
-    if small is None:
-        hits = grid_hits(vectors, questions, k, digits, allowed=allowed)
-    else:
-        hits = local_hits(vectors, small, k, digits, allowed=allowed)
-    return best_per_question(hits, k)
+    return merge_best(all_hits(vectors, question_slices(questions, max_bytes, dim), k, digits, allowed=allowed), k)

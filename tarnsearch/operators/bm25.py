@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tarnsearch.functions.text import tokenize, words
 from tarnsearch.functions.topk import BLOCK_CELLS, RunningTopK, round_half_up
 from tarnsearch.functions.vectors import rounded
+from tarnsearch.operators.merge import merge_best
 from tarnsearch.params import (
     BM25_B,
     BM25_EPSILON,
@@ -265,16 +266,25 @@ def best_chunks(
     Frequent words make nearly every pair score. Here the postings of asked terms are
     brought together by chunk, and each task adds up a block of chunks against all
     questions in place and emits its own best ``k`` per question. The question side is
-    shipped to the tasks, up to ``max_rows`` (question, term) rows; beyond that the pairs
-    are joined and summed as rows.
+    shipped to the tasks in slices of at most about ``max_rows`` (question, term) rows, each with
+    its own pass over the postings.
     """
     positive("k_bm25", k)
+    whole = asked.limit(max_rows + 1).toArrow()
+    slices = 1 if whole.num_rows <= max_rows else -(-asked.count() // max_rows)
+    found = None
+    for i in range(slices):
+        part = whole if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).toArrow()
+        hits = _slice_hits(postings, part, idf(terms, totals), totals, k, digits)
+        found = hits if found is None else found.union(hits)
+    return merge_best(found, k)
+
+
+def _slice_hits(postings: DataFrame, uses: pa.Table, values: DataFrame, totals: Row, k: int, digits: int) -> DataFrame:
+    """Every task's best ``k`` for one slice of questions."""
     spark = postings.sparkSession
-    uses = asked.limit(max_rows + 1).toArrow()
-    if uses.num_rows > max_rows:
-        return topk(score(postings, asked, terms, totals, broadcast_rows=max_rows), k, digits)
     known = F.broadcast(spark.createDataFrame(uses))
-    lookup = _QuestionWeights(term_weights(known, idf(terms, totals)).toArrow())
+    lookup = _QuestionWeights(term_weights(known, values).toArrow())
     numbered = pa.table(
         {"term": lookup.terms, "term_no": pa.array(np.arange(len(lookup.terms)), pa.int32())}
     )
@@ -293,14 +303,13 @@ def best_chunks(
             names=["query_id", "chunk_id", "score"],
         )
 
-    hits = (
+    return (
         postings.join(F.broadcast(spark.createDataFrame(numbered)), "term")
         .select("chunk_id", "term_no", _impact(totals).alias("impact"))
         .repartition("chunk_id")
         .sortWithinPartitions("chunk_id")
         .mapInArrow(job, "query_id BIGINT, chunk_id BIGINT, score DOUBLE")
     )
-    return _cut(hits, k)
 
 
 def search(
@@ -310,8 +319,9 @@ def search(
     id_col: str = "chunk_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """BM25 top-k straight from texts: the statistics are written once, then used."""
-    counted = materialize(postings(chunks, id_col, text_col), "postings")
-    terms = materialize(term_stats(counted), "terms")
-    totals = corpus_totals(chunks, terms).first()
-    return best_chunks(counted, query_terms(questions), terms, totals, k)
+    """BM25 top-k straight from texts: blocks are written once, then their terms are counted and they are searched."""
+    from tarnsearch.operators import blockmax
+
+    blocks = materialize(blockmax.block_postings(chunks, id_col, text_col), "blocks")
+    terms = materialize(blockmax.block_terms(blocks), "terms")
+    return blockmax.best_chunks(blocks, query_terms(questions), terms, blockmax.block_totals(blocks, terms), k)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.topk import ProductTopK
 from tarnsearch.functions.vectors import inner_product, l2_norm, rounded, unit_rows
+from tarnsearch.operators.merge import merge_best
 from tarnsearch.params import (
     BROADCAST_VECTOR_BYTES,
     K_DENSE,
@@ -22,9 +23,6 @@ from tarnsearch.params import (
 )
 
 HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
-# Vectors and questions per cell when neither side can be shipped whole.
-CELL_VECTORS = 200_000
-CELL_QUESTIONS = 20_000
 
 
 def as_vectors(df: DataFrame, id_col: str, vector_col: str = "embedding") -> DataFrame:
@@ -137,27 +135,24 @@ def _best_of_task(
     return best.finish()
 
 
-def best_per_question(hits: DataFrame, k: int) -> DataFrame:
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
-
-
-def question_matrix(
+def question_slices(
     questions: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES, dim: int | None = None
-) -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids and vectors of the questions, or None if they exceed ``max_bytes``."""
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of all questions, in slices of at most about ``max_bytes``: what a task is shipped at once."""
     if dim is None:
         first = questions.select(F.size("embedding")).head()
         dim = first[0] if first else 1
     limit = max(1, max_bytes // (8 * max(1, dim)))
-    # One row beyond the limit is enough to know that there are too many.
-    table = questions.select("query_id", "embedding").limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return None
-    return (
-        table.column("query_id").to_numpy(),
-        vector_matrix(table.column("embedding")).astype(np.float64),
-    )
+    asked = questions.select("query_id", "embedding")
+    # One row beyond the limit is enough to know that there are more slices.
+    whole = asked.limit(limit + 1).toArrow()
+    slices = 1 if whole.num_rows <= limit else math.ceil(asked.count() / limit)
+    for i in range(slices):
+        part = whole if slices == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).toArrow()
+        yield (
+            part.column("query_id").to_numpy(),
+            vector_matrix(part.column("embedding")).astype(np.float64),
+        )
 
 
 def topk(
@@ -172,16 +167,18 @@ def topk(
     """Exact best ``k`` vectors for each question ``(query_id, embedding)``.
 
     Pairs are scored as matrix blocks inside the tasks and never become rows: a
-    task emits only its own best ``k`` per question. Questions are shipped to every
-    task while they are few; otherwise vectors and questions meet in a grid of
-    bounded cells. ``dim`` saves a look at the questions where the caller knows it.
+    task emits only its own best ``k`` per question. Vectors stay where they are read;
+    questions are shipped to every task, in slices of at most about ``max_bytes``, each with
+    its own pass over the vectors. ``dim`` saves a look at the questions where the caller knows it.
     """
     positive("k_dense", k)
     unit = check_metric(metric) == "cosine"
-    small = question_matrix(questions, max_bytes, dim)
-    if small is None:
-        return best_per_question(grid_hits(vectors, questions, k, digits, unit), k)
-    return best_per_question(local_hits(vectors, small, k, digits, unit), k)
+    return merge_best(all_hits(vectors, question_slices(questions, max_bytes, dim), k, digits, unit), k)
+
+
+def all_hits(vectors: DataFrame, slices, k: int, digits: int, unit: bool = False, allowed=None) -> DataFrame:
+    """Every task's own best ``k`` per question, over all slices of questions."""
+    return reduce(DataFrame.union, (local_hits(vectors, part, k, digits, unit, allowed) for part in slices))
 
 
 def local_hits(
@@ -207,42 +204,3 @@ def local_hits(
         )
 
     return vectors.select("chunk_id", "embedding").mapInArrow(job, HITS)
-
-
-def grid_hits(
-    vectors: DataFrame,
-    questions: DataFrame,
-    k: int,
-    digits: int,
-    unit: bool = False,
-    cell_vectors: int = CELL_VECTORS,
-    cell_questions: int = CELL_QUESTIONS,
-    allowed=None,
-) -> DataFrame:
-    """Every block of vectors meets every block of questions in a task of its own."""
-    rows = max(1, math.ceil(vectors.count() / cell_vectors))
-    cols = max(1, math.ceil(questions.count() / cell_questions))
-
-    def spread(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        )
-
-    left = spread(vectors.select("chunk_id", "embedding"), "chunk_id", "row", rows, "col", cols)
-    right = spread(questions.select("query_id", "embedding"), "query_id", "col", cols, "row", rows)
-
-    def cell(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = not len(stored) or not len(asked)
-        right = np.empty((0, 0)) if empty else np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        best = ProductTopK(unit_rows(right) if unit else right, k, digits)
-        if not empty:
-            left = np.stack(stored["embedding"].to_numpy())
-            pairs = allowed(left, right) if allowed else None
-            best.offer(stored["chunk_id"].to_numpy(), unit_rows(left) if unit else left, pairs)
-        question, row_id, score = best.finish()
-        ids = asked["query_id"].to_numpy(dtype=np.int64)
-        return pd.DataFrame({"query_id": ids[question], "chunk_id": row_id, "score": score})
-
-    return (
-        left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(cell, HITS)
-    )

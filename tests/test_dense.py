@@ -3,6 +3,7 @@ import pytest
 
 from tarnsearch.functions.topk import ProductTopK, RunningTopK, round_half_up
 from tarnsearch.operators import dense
+from tarnsearch.operators.merge import merge_best
 from tarnsearch.operators.approximate import lsh_topk
 from tarnsearch.operators.embedding import Embedder, embed, hash_embedder
 
@@ -68,13 +69,25 @@ def test_many_copies(frame, metric, max_bytes):
     assert got == reference_topk(stored, asked, 25, metric == "cosine")
 
 
-def test_grid_of_many_cells(frame):
+def test_many_slices_of_questions(frame):
     rng = np.random.default_rng(4)
     stored, asked = rng.normal(size=(200, 3)).astype("f4"), rng.normal(size=(30, 3)).astype("f4")
     vectors = frame([(i, v.tolist()) for i, v in enumerate(stored)], VECTORS)
     questions = frame([(i, v.tolist()) for i, v in enumerate(asked)], ASKED)
-    hits = dense.grid_hits(vectors, questions, 6, 6, cell_vectors=50, cell_questions=10)
-    assert rows(dense.best_per_question(hits, 6)) == reference_topk(stored, asked, 6)
+    parts = list(dense.question_slices(questions, 8 * 3 * 10))
+    assert len(parts) == 3 and sorted(np.concatenate([p[0] for p in parts])) == list(range(30))
+    hits = dense.all_hits(vectors, parts, 6, 6)
+    assert rows(merge_best(hits, 6)) == reference_topk(stored, asked, 6)
+
+
+def test_merge_is_a_tree(frame):
+    """Two cuts by question, the first of them within groups of tasks."""
+    vectors = frame([(i, [float(i % 7), 1.0]) for i in range(500)], VECTORS).repartition(40)
+    questions = frame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], ASKED)
+    found = dense.topk(vectors, questions, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2 and "windowspecdefinition(query_id" in plan and "salt" in plan
+    assert [(r.query_id, r.chunk_id) for r in found.orderBy("query_id", "rank").collect()] == [(0, i) for i in (6, 13, 20, 27, 34)] + [(1, i) for i in range(5)]
 
 
 def test_running_topk_keeps_small_ids_on_ties():
