@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tarnsearch.operators import bm25, dense, fusion
+from tarnsearch.operators import blockmax, bm25, dense, fusion
 from tarnsearch.operators.embedding import Embedder, embed
 from tarnsearch.operators.rerank import distinct_terms, overlap_score, rerank_topk
 from tarnsearch.params import K_BM25, K_DENSE, K_FINAL, K_RRF, TOPN
@@ -16,27 +16,40 @@ from tarnsearch.plans.work import materialize, spread
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables retrieval reads. ``chunks`` has chunk_id, source_path and text."""
+    """The tables retrieval reads. ``chunks`` has chunk_id, source_path and text. Words are looked up in
+    ``blocks`` where there are any, else in ``postings``; ``totals`` saves counting the corpus again."""
 
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None
     terms: DataFrame
     embedder: Embedder
     metric: str = "ip"
+    blocks: DataFrame | None = None
+    totals: Row | None = None
+
+    def best_by_words(self, questions: DataFrame, k: int) -> DataFrame:
+        asked = bm25.query_terms(questions)
+        totals = self.totals or bm25.corpus_totals(self.chunks, self.terms).first()
+        if self.blocks is not None:
+            return blockmax.best_chunks(self.blocks, asked, self.terms, totals, k)
+        return bm25.best_chunks(self.postings, asked, self.terms, totals, k)
 
 
 def index_in_place(chunks: DataFrame, embedder: Embedder, metric: str = "ip") -> Corpus:
     """Tables for one-off retrieval over chunks that no stored index covers."""
-    postings = materialize(bm25.postings(chunks), "postings")
+    blocks = materialize(blockmax.block_postings(chunks), "blocks")
+    terms = materialize(blockmax.block_terms(blocks), "terms")
     return Corpus(
         chunks=chunks,
         # Scored once, in the tasks that embed: nothing to store.
         vectors=embed(chunks, embedder),
-        postings=postings,
-        terms=materialize(bm25.term_stats(postings), "terms"),
+        postings=None,
+        terms=terms,
         embedder=embedder,
         metric=metric,
+        blocks=blocks,
+        totals=blockmax.block_totals(blocks, terms),
     )
 
 
@@ -49,10 +62,7 @@ def retrieve(
     k_rrf: int = K_RRF,
 ) -> DataFrame:
     """Candidates per question ``(query_id, query)``: both searches, fused, with their text."""
-    totals = bm25.corpus_totals(corpus.chunks, corpus.terms).first()
-    by_words = bm25.best_chunks(
-        corpus.postings, bm25.query_terms(questions), corpus.terms, totals, k_bm25
-    )
+    by_words = corpus.best_by_words(questions, k_bm25)
     asked = embed(questions, corpus.embedder, id_col="query_id", text_col="query")
     by_vectors = dense.topk(
         corpus.vectors, asked, k_dense, corpus.metric, dim=corpus.embedder.dim
