@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.registry import EMBEDDER, documents, query, table
-from checks.sql import PATH, POSTINGS, fixed_chunks, strip, with_
-from tarnsearch.functions.text import (
-    ENTITIES,
-    HTML_STEPS,
-    MARKDOWN_STEPS,
-    SPACE_STEPS,
-    html_to_text,
-    markdown_to_text,
-)
+from checks.sql import PATH, POSTINGS, fixed_chunks, recursive_chunks, strip, with_
+from tarnsearch.functions.text import MARKDOWN_STEPS, html_to_text, markdown_to_text
 from tarnsearch.operators.chunking import number_chunks, split_documents
-from tarnsearch.operators.manifest import content_manifest
+from tarnsearch.operators.manifest import content_manifest, file_manifest
 from tarnsearch.plans.index import build_index, make_settings, open_index
 from tarnsearch.plans.work import work_folder
 from tarnsearch.sources.files import (
@@ -25,6 +21,7 @@ from tarnsearch.sources.files import (
     suffix_of,
     tag_source,
 )
+from tarnsearch.sources.folder import load_files
 from tarnsearch.sources.tables import (
     read_chunks,
     read_manifest,
@@ -46,11 +43,19 @@ def _replaced(column: str, steps) -> str:
     return column
 
 
+# The entities that the pages hold.
+_PAGE_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·"}
+
+
 def _html_sql(column: str) -> str:
-    text = _replaced(column, HTML_STEPS)
-    for entity, char in ENTITIES:
+    text = f"regexp_replace({column}, '<!--.*?-->', '', 'gs')"
+    for tag in ("script", "style"):
+        text = f"regexp_replace({text}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'gsi')"
+    text = f"regexp_replace({text}, '<[^>]+>', chr(10), 'g')"
+    for entity, char in _PAGE_ENTITIES.items():
         text = f"replace({text}, {_quote(entity)}, {_quote(char)})"
-    return strip(_replaced(text, SPACE_STEPS))
+    text = f"regexp_replace(replace({text}, '&amp;', '&'), '[\\x09\\x0C\\x0D ]+', ' ', 'g')"
+    return strip(f"regexp_replace({text}, ' ?\\x0A[\\x0A ]*', chr(10), 'g')")
 
 
 @query("html_to_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
@@ -133,7 +138,13 @@ def quarantine(spark, folder):
     return checked.filter("error IS NOT NULL").select("page_id", "suffix", "error")
 
 
-@query("chunk_documents")
+@query(
+    "chunk_documents",
+    "WITH RECURSIVE "
+    + recursive_chunks(1000, 200).strip()
+    + """ SELECT doc_id, source_path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, s) - 1 AS INTEGER) AS chunk_pos,
+    text FROM cut WHERE text <> ''""",
+)
 def chunk_documents(spark, folder):
     return split_documents(documents(spark, folder))
 
@@ -216,3 +227,49 @@ def build(spark, folder):
     index = fixed_index(spark, documents(spark, folder))
     return index_sizes(open_index(spark, index.root))
 
+
+
+def _folder_of_files(spark, folder) -> str:
+    """Every document as a file of its own. Of fifty, one is empty and one has bytes that are not UTF-8."""
+    root = work_folder(spark, "folder")
+    place = root.removeprefix("file://")
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{place}/{row['source_path']}"
+                content = {0: b"", 1: b"\xff\xfe" + row["text"].encode()}.get(row["doc_id"] % 50, row["text"].encode())
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")], ["doc_id"])
+
+    documents(spark, folder).mapInArrow(write, "doc_id bigint").agg(F.count("*")).collect()
+    return root
+
+
+_FILES = f"""
+files AS (
+  SELECT {PATH} AS path, doc_id % 50 AS kind, text FROM documents)"""
+
+
+@query(
+    "file_manifest",
+    with_(_FILES)
+    + """SELECT path, CASE kind WHEN 0 THEN 0 WHEN 1 THEN strlen(text) + 2 ELSE strlen(text) END AS size,
+    CASE kind WHEN 0 THEN sha256('') WHEN 1 THEN sha256('\\xFF\\xFE'::BLOB || encode(text)) ELSE sha256(text) END AS sha256
+    FROM files""",
+)
+def file_manifest_of_folder(spark, folder):
+    return file_manifest(spark, _folder_of_files(spark, folder)).select("path", "size", "sha256")
+
+
+@query(
+    "load_files",
+    with_(_FILES)
+    + """SELECT path AS source_path, '.txt' AS suffix, CASE kind WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END AS text,
+    CASE WHEN kind = 1 THEN 'cannot be decoded' END AS error FROM files""",
+)
+def load_folder(spark, folder):
+    """A row per file: empty ones are empty texts, and those that are no text have their reason."""
+    return load_files(spark, _folder_of_files(spark, folder), charsets=()).select("source_path", "suffix", "text", "error")

@@ -15,7 +15,7 @@ from checks.registry import EMBEDDER, documents, query, table
 from checks.retrieval import HYBRID_COLUMNS, HYBRID_PARTS
 from checks.sql import IDF, PATH, POSTINGS, QUESTIONS, fixed_chunks, with_
 from tarnsearch.functions.vectors import rounded
-from tarnsearch.operators import bm25, manifest
+from tarnsearch.operators import bm25, manifest, manifest_tree
 from tarnsearch.plans.index import make_settings, open_index, refresh_index
 from tarnsearch.plans.work import work_folder
 from tarnsearch.streaming.ingest import ingest
@@ -88,6 +88,15 @@ def diff_files(spark, folder):
     return manifest.diff_files(*_snapshots(spark, folder))
 
 
+@query("manifest_tree_diff", with_(SNAPSHOTS, DIFF) + "SELECT path, status FROM diff")
+def tree_diff(spark, folder):
+    """The same by way of the stored manifest's tree of digests."""
+    saved, now = _snapshots(spark, folder)
+    path = work_folder(spark, "manifest-tree")
+    manifest_tree.write_tree(saved, path, buckets=256)
+    return manifest_tree.diff(manifest_tree.open_tree(spark, path), now)
+
+
 @query(
     "manifest_reasons",
     with_(SNAPSHOTS, DIFF)

@@ -22,10 +22,10 @@ from checks.sql import (
 )
 from tarnsearch.functions.text import tokens
 from tarnsearch.functions.vectors import rounded
-from tarnsearch.operators import bm25, dense, embedding, fusion
+from tarnsearch.operators import bm25, dense, embedding, fusion, vector_store
 from tarnsearch.plans.hybrid import index_in_place, retrieve
 from tarnsearch.params import TOPN
-from tarnsearch.plans.work import materialize
+from tarnsearch.plans.work import materialize, work_folder
 
 _BM25 = with_(CHUNKS, QUESTIONS, POSTINGS, IDF, BM25, BM25_TOP)
 HYBRID_PARTS = (POSTINGS, IDF, BM25, BM25_TOP, DENSE_TOP, FUSED, CANDIDATES)
@@ -129,13 +129,26 @@ def rank_list(spark, folder):
     return fusion.rank_list(hits)
 
 
-@query(
-    "hash_embed",
+_HASHED = (
     with_(CHUNKS, POSTINGS, hashed("vec", "(SELECT chunk_id, term, tf AS n FROM postings)", "chunk_id"))
-    + "SELECT chunk_id, bucket, round(CAST(weight AS DOUBLE), 6) AS weight FROM vec",
+    + "SELECT chunk_id, bucket, round(CAST(weight AS DOUBLE), 6) AS weight FROM vec"
 )
+
+
+@query("hash_embed", _HASHED)
 def hash_embed(spark, folder):
-    vectors = embedding.embed(as_chunks(spark, folder), EMBEDDER)
+    return _weights(embedding.embed(as_chunks(spark, folder), EMBEDDER))
+
+
+@query("embed_stored", _HASHED)
+def embed_stored(spark, folder):
+    """Vectors by way of a store: half of the documents first, then all, so that some are found there."""
+    chunks, root = as_chunks(spark, folder), work_folder(spark, "vector-store")
+    vector_store.add_missing(chunks.where("chunk_id % 2 = 0"), root, EMBEDDER)
+    return _weights(vector_store.embed_stored(chunks, root, EMBEDDER))
+
+
+def _weights(vectors):
     return (
         vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight"))
         .filter("weight <> 0")

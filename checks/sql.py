@@ -19,22 +19,21 @@ CHUNKS = f"chunks AS (SELECT doc_id AS chunk_id, {PATH} AS source_path, text FRO
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 POSTINGS = f"""
-chunk_len AS (
+chunk_len AS MATERIALIZED (
   SELECT chunk_id, CAST(len({words('text')}) AS BIGINT) AS chunk_len FROM chunks),
-postings AS (
+postings AS MATERIALIZED (
   SELECT chunk_id, lower(word) AS term, count(*) AS tf
   FROM (SELECT chunk_id, unnest({words('text')}) AS word FROM chunks) GROUP BY ALL),
-terms AS (
+terms AS MATERIALIZED (
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term)"""
 
 IDF = """
 totals AS (
   SELECT count(*) AS n, CAST(sum(chunk_len) AS BIGINT) AS n_tokens,
          sum(chunk_len) / count(*) AS avg_len FROM chunk_len),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM terms, totals),
-mean AS (SELECT avg(raw) AS mean FROM raw),
-idf AS (
-  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)"""
+raw AS (SELECT term, df, ln((SELECT n FROM totals) - df + 0.5) - ln(df + 0.5) AS raw FROM terms),
+idf AS MATERIALIZED (
+  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM raw)"""
 
 BM25 = f"""
 asked AS (
@@ -142,5 +141,47 @@ fixed AS (
   FROM pieces_kept)"""
 
 
+def recursive_chunks(size: int, overlap: int) -> str:
+    """Documents cut at line ends, and pieces of ``size`` or more at blanks, merged into overlapping windows.
+
+    For texts without blank lines and without words of ``size`` characters. A window is two places in its group's list of
+    pieces; the next one starts where at most ``overlap`` of the last is kept and its first new piece still fits.
+    """
+    return f"""
+pieces AS (
+  SELECT doc_id, {PATH} AS source_path, i,
+         CASE WHEN i > 1 THEN chr(10) || piece ELSE piece END AS piece, contains(text, chr(10)) AS by_line
+  FROM (SELECT doc_id, source, text, string_split(text, chr(10)) AS ps FROM documents) AS d,
+       unnest(ps) WITH ORDINALITY AS t(piece, i)),
+marked AS (
+  SELECT *, by_line AND length(piece) < {size} AS short FROM pieces WHERE piece <> ''),
+runs AS (
+  SELECT doc_id, source_path, i, piece, short,
+         2 * sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) + CASE WHEN short THEN 1 ELSE 0 END AS run
+  FROM marked),
+parts AS (
+  SELECT doc_id, source_path, run, i, 0 AS j, piece FROM runs WHERE short
+  UNION ALL
+  SELECT doc_id, source_path, run, i, j, CASE WHEN j > 1 THEN ' ' || word ELSE word END
+  FROM (SELECT *, string_split(piece, ' ') AS ws FROM runs WHERE NOT short) AS r, unnest(ws) WITH ORDINALITY AS t(word, j)
+  WHERE j > 1 OR word <> ''),
+summed AS (
+  SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id, run ORDER BY i, j) AS BIGINT) AS upto FROM parts),
+lists AS MATERIALIZED (
+  SELECT doc_id, any_value(source_path) AS source_path, run, list(piece ORDER BY i, j) AS ps,
+         list_concat([0], list(upto ORDER BY i, j)) AS p
+  FROM summed GROUP BY doc_id, run),
+windows(doc_id, run, s, e) AS (
+  SELECT doc_id, run, 0, len(list_filter(p, lambda x: x <= {size})) - 1 FROM lists
+  UNION ALL
+  SELECT doc_id, run, s, len(list_filter(p, lambda x: x - p[s + 1] <= {size})) - 1 FROM (
+    SELECT w.doc_id, w.run, p,
+           len(list_filter(p, lambda x: p[e + 1] - x > {overlap} OR p[e + 2] - x > {size})) AS s
+    FROM windows w JOIN lists l ON l.doc_id = w.doc_id AND l.run = w.run WHERE e < len(ps))),
+cut AS (
+  SELECT w.doc_id, source_path, w.run, s, {strip("array_to_string(ps[s + 1:e], '')")} AS text
+  FROM windows w JOIN lists l ON l.doc_id = w.doc_id AND l.run = w.run)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(part.strip() for part in parts) + "\n"

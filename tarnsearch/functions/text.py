@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,18 +95,24 @@ def unix_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-# Entities to unescape; the ampersand comes last, so that an
-# escaped entity stays literal.
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+# A space that does not break becomes a plain one.
+_HARD_SPACE = re.compile(r"&(?:nbsp|#0*160|#[xX]0*[aA]0);")
+
+
+def _unescape_all(texts: pd.Series) -> pd.Series:
+    def one(text: str) -> str:
+        return _ENTITY.sub(lambda found: unescape(found[0]), _HARD_SPACE.sub(" ", text))
+
+    return texts.map(one, na_action="ignore")
+
+
+def unescape_entities(text: Column) -> Column:
+    """Named (all of HTML 5) and numeric entities as characters, each once: ``&amp;lt;`` is ``&lt;``. Unknown ones
+    and those without a semicolon stay. Texts without an ampersand never reach Python."""
+    found = text.rlike(_ENTITY.pattern)
+    return F.when(found, F.pandas_udf(_unescape_all, "string")(F.when(found, text))).otherwise(text)
+
 
 # (pattern, replacement), applied in order; both Java and RE2 read them alike.
 HTML_STEPS = (
@@ -139,10 +146,7 @@ def _replace_all(text: Column, steps) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Visible text: scripts, styles and comments dropped, every tag a line break."""
-    text = _replace_all(html, HTML_STEPS)
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(_replace_all(text, SPACE_STEPS))
+    return strip(_replace_all(unescape_entities(_replace_all(html, HTML_STEPS)), SPACE_STEPS))
 
 
 def markdown_to_text(markdown: Column) -> Column:

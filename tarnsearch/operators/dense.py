@@ -65,16 +65,29 @@ def vector_violations(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def append_vectors(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """Stored and added vectors; an id that is already there raises when the job runs."""
+    """Stored and added vectors. When the job runs, an id that is already there or comes twice, a missing id or
+    vector, a missing element, and a width other than the stored one raise."""
     taken = stored.select("chunk_id", F.lit(True).alias("taken"))
-    clash = F.concat(F.lit("vector id already stored: "), F.col("chunk_id").cast("string"))
-    checked = added.join(taken, "chunk_id", "left").select(
-        F.when(F.col("taken"), F.raise_error(clash).cast("bigint"))
-        .otherwise(F.col("chunk_id"))
-        .alias("chunk_id"),
-        "embedding",
+    # One row: the stored width, or that of the first vectors.
+    width = stored.agg(F.max(F.size("embedding")).alias("stored")).join(added.agg(F.max(F.size("embedding")).alias("new")))
+    each = added.groupBy("chunk_id").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    named = F.coalesce(F.col("chunk_id").cast("string"), F.lit("null"))
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    wrong = (
+        F.when(F.col("taken"), F.concat(F.lit("vector id already stored: "), named))
+        .when(F.col("n") > 1, F.concat(F.lit("vector id added twice: "), named))
+        .when(F.col("chunk_id").isNull(), F.lit("vector without an id"))
+        .when(F.col("embedding").isNull(), F.concat(F.lit("missing vector: "), named))
+        .when(size != F.coalesce("stored", "new"), F.concat(F.lit("width of vector "), named, F.lit(" is "), size.cast("string")))
+        .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), F.concat(F.lit("missing element in vector "), named))
+    )
+    checked = each.join(taken, "chunk_id", "left").join(F.broadcast(width)).withColumn("wrong", wrong)
+    return stored.unionByName(
+        checked.select(
+            F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("bigint")).otherwise(F.col("chunk_id")).alias("chunk_id"),
+            "embedding",
+        )
     )
-    return stored.unionByName(checked)
 
 
 def topk_single(

@@ -7,27 +7,18 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsearch.sources.folder import read_folder
+
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: relative path, size, modification time, SHA-256.
+    """Every file below ``root``, empty ones too: relative path, size, modification time, SHA-256.
 
-    Spark's file sources pass over files of no bytes at all.
+    A file that cannot be read has a null digest, so it counts as changed once it can. Files are hashed
+    piece by piece where they are listed; none is held whole.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    )
-    # Listed paths may carry a scheme and host the given root lacks.
-    folder = urlparse(root).path
-    if not folder.startswith("/"):
+    if not urlparse(root).path.startswith("/"):
         raise ValueError(f"root must be an absolute path, got {root!r}")
-    base = folder.rstrip("/") + "/"
-    relative = F.substr(F.col("path"), F.instr(F.col("path"), base) + len(base))
-    return files.select(
-        relative.alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    return read_folder(spark, root).select("path", "size", "modified", "sha256")
 
 
 def content_manifest(documents: DataFrame, path: Column, text_col: str = "text") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsearch.functions.charsets import MIN_CONFIDENCE, detect
 from tarnsearch.functions.text import html_to_text, markdown_to_text, unix_newlines
 
 # Suffixes a corpus may hold. The last two are listed and
@@ -18,7 +19,7 @@ HTML = (".html", ".htm")
 UNSUPPORTED = (".pdf", ".docx")
 SUFFIXES = TEXT + MARKDOWN + HTML + UNSUPPORTED
 
-# Tried in this order on files that are not UTF-8; the last one accepts any byte.
+# What files that are not UTF-8 may be written in; of equally plausible ones the first is taken.
 CHARSETS = ("cp1250", "iso-8859-2", "iso-8859-1")
 
 
@@ -58,27 +59,57 @@ def list_files(
     )
 
 
-def _decoder(charsets: Sequence[str]):
-    def decode(contents: pd.Series) -> pd.Series:
-        def one(data: bytes) -> str | None:
-            for charset in charsets:
-                try:
-                    return data.decode(charset)
-                except UnicodeDecodeError:
-                    continue
-            return None
+def _decoder(charsets: Sequence[str], min_confidence: float):
+    def decode(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in contents:
+            rows = []
+            for data in batch:
+                charset, sure = (None, None) if data is None else detect(data, charsets)
+                text = data.decode(charset) if charset is not None and sure >= min_confidence else None
+                rows.append((text, charset, sure))
+            yield pd.DataFrame(rows, columns=["text", "charset", "confidence"])
 
-        return contents.map(one, na_action="ignore")
+    return F.pandas_udf(decode, "text string, charset string, confidence double")
 
-    return F.pandas_udf(decode, "string")
+
+def decoded(content: Column, charsets: Sequence[str] = CHARSETS, min_confidence: float = MIN_CONFIDENCE) -> Column:
+    """``(text, charset, confidence)`` of a byte column. UTF-8 is taken as it is, in the JVM; other bytes are read in the
+    most plausible of ``charsets``, and have no text where that is less plausible than ``min_confidence``."""
+    as_utf8 = content.cast("string")
+    is_utf8 = F.is_valid_utf8(as_utf8)
+    other = _decoder(charsets, min_confidence)(F.when(~is_utf8, content))
+    plain = F.struct(as_utf8.alias("text"), F.lit("utf-8").alias("charset"), F.lit(1.0).alias("confidence"))
+    return F.when(content.isNull(), F.lit(None)).when(is_utf8, plain).otherwise(other)
 
 
 def decode_bytes(content: Column, charsets: Sequence[str] = CHARSETS) -> Column:
     """Text of a byte column; only what is not UTF-8 is decoded in Python."""
-    as_utf8 = content.cast("string")
-    is_utf8 = F.is_valid_utf8(as_utf8)
-    other = _decoder(charsets)(F.when(~is_utf8, content))
-    return F.when(is_utf8, as_utf8).otherwise(other)
+    return decoded(content, charsets)["text"]
+
+
+def as_texts(found: DataFrame, charsets: Sequence[str] = CHARSETS) -> DataFrame:
+    """Rows ``(path, size, modified, content, error)`` with the plain text of the content, or a reason in ``error``;
+    ``charset`` and ``confidence`` say how it was read."""
+    files = found.withColumn("suffix", suffix_of(F.col("path")))
+    suffix = F.col("suffix")
+    supported = ~F.coalesce(suffix.isin(*UNSUPPORTED), F.lit(False))
+    read = files.withColumn("read", decoded(F.when(supported, F.col("content")), charsets))
+    return read.withColumn("raw", unix_newlines(F.col("read.text"))).select(
+        F.col("path").alias("source_path"),
+        "suffix",
+        "size",
+        "modified",
+        F.when(suffix.isin(*MARKDOWN), markdown_to_text(F.col("raw")))
+        .when(suffix.isin(*HTML), html_to_text(F.col("raw")))
+        .otherwise(F.col("raw"))
+        .alias("text"),
+        "read.charset",
+        "read.confidence",
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(~supported, "unsupported format")
+        .when(F.col("raw").isNull(), "cannot be decoded")
+        .alias("error"),
+    )
 
 
 def scan_files(
@@ -87,26 +118,14 @@ def scan_files(
     suffixes: Sequence[str] = SUFFIXES,
     charsets: Sequence[str] = CHARSETS,
 ) -> DataFrame:
-    """One row per file with its plain text, or the reason there is none in ``error``."""
-    files = _binary_files(spark, root, suffixes).withColumn("suffix", suffix_of(F.col("path")))
-    text = unix_newlines(decode_bytes(F.col("content"), charsets))
-    suffix = F.col("suffix")
-    return (
-        files.withColumn("raw", F.when(~suffix.isin(*UNSUPPORTED), text))
-        .select(
-            F.col("path").alias("source_path"),
-            "suffix",
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("modified"),
-            F.when(suffix.isin(*MARKDOWN), markdown_to_text(F.col("raw")))
-            .when(suffix.isin(*HTML), html_to_text(F.col("raw")))
-            .otherwise(F.col("raw"))
-            .alias("text"),
-            F.when(suffix.isin(*UNSUPPORTED), "unsupported format")
-            .when(F.col("raw").isNull(), "cannot be decoded")
-            .alias("error"),
-        )
-    )
+    """One row per file with its plain text, or the reason there is none in ``error``.
+
+    Read by Spark's own reader, which reaches every store Spark does, but passes over empty files and ends the
+    job at one that cannot be read; ``sources.folder.load_files`` keeps both as rows.
+    """
+    files = _binary_files(spark, root, suffixes)
+    found = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    return as_texts(found.withColumn("error", F.lit(None).cast("string")), charsets)
 
 
 def load_documents(spark: SparkSession, root: str, **options) -> DataFrame:

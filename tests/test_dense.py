@@ -146,6 +146,28 @@ def test_append_refuses_a_known_id(frame, small):
         dense.append_vectors(small, frame([(2, [1.0, 1.0])], VECTORS)).collect()
 
 
+@pytest.mark.parametrize(
+    "added, message",
+    [
+        ([(7, [1.0, 1.0]), (7, [1.0, 1.0])], "added twice: 7"),
+        ([(8, [1.0])], "width of vector 8 is 1"),
+        ([(9, [1.0, None])], "missing element in vector 9"),
+        ([(10, None)], "missing vector: 10"),
+        ([(None, [1.0, 1.0])], "without an id"),
+    ],
+)
+def test_append_checks_what_it_takes(frame, small, added, message):
+    with pytest.raises(Exception, match=message):
+        dense.append_vectors(small, frame(added, VECTORS)).collect()
+
+
+def test_append_to_nothing(frame, small):
+    assert dense.append_vectors(small.limit(0), small).count() == 3
+    assert dense.append_vectors(small, small.limit(0)).count() == 3
+    with pytest.raises(Exception, match="width"):
+        dense.append_vectors(small.limit(0), frame([(1, [1.0]), (2, [1.0, 2.0])], VECTORS)).collect()
+
+
 def test_approximate_recall(frame):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 16))
