@@ -19,17 +19,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm.text import PLAIN, blocks, distinct, packed, unpacked
+from tarnsearch.llm.text import PLAIN, blocks, distinct, one_by_one, packed, unpacked
 
 EXACT_BELOW = 20
 # Text of the items shipped at once. Signatures and sets take some ten times as much.
 ITEM_BYTES = 4 << 20
 
 MATCHES = "array<struct<item_id: bigint, n_shingles: int, n_shared: int>>"
+_ARROW_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_shared", pa.int32())]))
 
 
 @dataclass(frozen=True)
@@ -114,20 +115,20 @@ class Items:
 
 
 def _matcher(shipped, how: Containment):
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shipped.value, how)
         names = ("item_id", "n_shingles", "n_shared")
         for batch in texts:
-            yield pd.Series(
+            yield pa.array(
                 [
                     [dict(zip(names, m)) for m in items.matches(text, hashes)]
-                    for block in blocks(batch, PLAIN)
+                    for block in blocks(one_by_one(batch), PLAIN)
                     for text, hashes in zip(block.texts, block.shingles(how.shingle, False))
                 ],
-                dtype=object,
+                _ARROW_MATCHES,
             )
 
-    return F.pandas_udf(run, MATCHES)
+    return F.arrow_udf(run, MATCHES)
 
 
 def _item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:

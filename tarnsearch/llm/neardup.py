@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.graph import components
-from tarnsearch.llm.text import SPACED, Block, blocks, distinct, document_key, mix, packed, unpacked
+from tarnsearch.llm.text import SPACED, Block, blocks, distinct, document_key, mix, one_by_one, packed, unpacked
 from tarnsearch.plans.work import materialize
 
 
@@ -95,11 +96,14 @@ def sketch(block: Block, how: NearDup) -> pd.DataFrame:
 
 
 def _sketches(how: NearDup):
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.concat([sketch(b, how) for b in blocks(batch, SPACED)], ignore_index=True)
+            parts = [sketch(b, how) for b in blocks(one_by_one(batch), SPACED)]
+            columns = [[value for part in parts for value in part[c]] for c in ("digest", "n_shingles", "keys")]
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["digest", "n_shingles", "keys"])
 
-    return F.pandas_udf(run, "digest binary, n_shingles bigint, keys array<bigint>")
+    return F.arrow_udf(run, "digest binary, n_shingles bigint, keys array<bigint>")
 
 
 def shingle_set(data: bytes, size: int) -> set[tuple[bytes, ...]]:
@@ -110,17 +114,17 @@ def shingle_set(data: bytes, size: int) -> set[tuple[bytes, ...]]:
 
 
 def _linked(how: NearDup):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last, left = [], None, set()
-        for x, y in zip(a, b):
+        for x, y in zip(one_by_one(a), one_by_one(b)):
             if last is None or x != last:
                 last, left = x, shingle_set(x, how.shingle)
             right = shingle_set(y, how.shingle)
             both = len(left & right)
             out.append(100 * both >= how.percent * (len(left) + len(right) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
-    return F.pandas_udf(run, "boolean")
+    return F.arrow_udf(run, "boolean")
 
 
 def _open_buckets(rows: DataFrame) -> DataFrame:

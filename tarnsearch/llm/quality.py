@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm.text import SPACED_CASED, Block, blocks, distinct, packed, unpacked
+from tarnsearch.llm.text import SPACED_CASED, Block, blocks, distinct, one_by_one, packed, unpacked
 from tarnsearch.plans.work import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -123,9 +124,12 @@ def features(block: Block) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[f.split()[0] for f in FEATURES.split(",")], dtype="int64")
 
 
-def _features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.concat([features(b) for b in blocks(batch, SPACED_CASED)], ignore_index=True)
+        parts = [features(b) for b in blocks(one_by_one(batch), SPACED_CASED)]
+        names = [f.split()[0] for f in FEATURES.split(",")]
+        columns = [np.concatenate([p[c].to_numpy() for p in parts] or [np.empty(0, np.int64)]) for c in names]
+        yield pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
 
 
 def _stratum(column: str) -> Column:
@@ -137,7 +141,7 @@ def with_features(docs: DataFrame, text: str = "text", stratum: str = "lang") ->
     rows = packed(docs)
     return (
         rows.withColumn("_stratum", _stratum(stratum))
-        .withColumn("_f", F.pandas_udf(_features, FEATURES)(F.col(f"_row.{text}").cast("binary")))
+        .withColumn("_f", F.arrow_udf(_features, FEATURES)(F.col(f"_row.{text}").cast("binary")))
         .select("_row", "_stratum", "_f.*")
     )
 

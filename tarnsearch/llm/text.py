@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +112,11 @@ class Block:
 BLOCK_BYTES = 1 << 20
 
 
+def one_by_one(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of an Arrow column, none of them held longer than it is looked at."""
+    return (value.as_py() for value in column)
+
+
 def blocks(texts: Iterable[bytes | None], table: np.ndarray) -> Iterator[Block]:
     """The texts of a batch in blocks of about a megabyte (a longer text alone), so that
     arrays are long enough to be quick and short enough to be cheap. Null is empty."""
