@@ -1,10 +1,12 @@
 import math
+import random
 from collections import Counter
+from itertools import accumulate
 
 import pytest
 
 from tarnsearch.llm.lm import backoff_scores
-from tarnsearch.llm.passages import Passages, chains, shared_passages
+from tarnsearch.llm.passages import Passages, chains, shared_passages, stretches
 from tests.llm.conftest import ODD, prose, row
 
 
@@ -52,6 +54,57 @@ def test_odd_passages(odd, empty):
     assert shared_passages(odd, Passages(min_words=61)).count() == 0
 
 
+def test_stretches_equal_brute_force():
+    dice = random.Random(4)
+    for _ in range(300):
+        runs, a, b = [], 0, 0
+        for _ in range(dice.randint(1, 9)):
+            runs.append((a, b, dice.randint(1, 9)))
+            a, b = (x + runs[-1][2] + dice.choice([0, 1, 1, 2, 6]) for x in (a, b))
+        longest = 0
+        for i in range(len(runs)):
+            words = equal = 0
+            for j in range(i, len(runs)):
+                if j > i:
+                    words += max(runs[j][s] - runs[j - 1][s] - runs[j - 1][2] for s in (0, 1))
+                words, equal = words + runs[j][2], equal + runs[j][2]
+                if 100 * equal >= 80 * words:
+                    longest = max(longest, words)
+        found = stretches(runs, 12, 80)
+        assert bool(found) == (longest >= 12)
+        if found:
+            first = found[0]
+            gaps = sum(max(y[s] - x[s] - x[2] for s in (0, 1)) for x, y in zip(first, first[1:]))
+            assert gaps + sum(n for *_, n in first) == longest
+            kept = sorted(r for f in found for r in f)
+            assert len(kept) == len(set(kept))
+
+
+def has_stretch(equal, words=50, percent=80):
+    """Whether some stretch of that many places or more is equal enough."""
+    sums = [0, *accumulate(equal)]
+    return any(
+        100 * (sums[j] - sums[i]) >= percent * (j - i) for i in range(len(equal)) for j in range(i + words, len(equal) + 1)
+    )
+
+
+@pytest.mark.parametrize("replaced", [0.1, 0.15, 0.2])
+def test_recall_of_fuzzy_passages(docs, replaced):
+    """Passages of 80 words, some replaced at random, of which 50 words are equal to 80 percent."""
+    dice = random.Random(int(100 * replaced))
+    rows, truth = [], set()
+    for n in range(120):
+        passage = prose(5000 + n, 80).split()
+        equal = [dice.random() >= replaced for _ in passage]
+        other = [w if e else f"x{dice.random()}".replace(".", "") for w, e in zip(passage, equal)]
+        rows.append(row(2 * n, " ".join([prose(1000 + n, 60), *passage, prose(2000 + n, 60)])))
+        rows.append(row(2 * n + 1, " ".join([prose(3000 + n, 60), *other, prose(4000 + n, 60)])))
+        if has_stretch(equal):
+            truth.add((2 * n + 1, 2 * n))
+    found = {(r.doc_id, r.match_id) for r in shared_passages(docs(rows)).collect()}
+    assert len(truth) > 60 and len(found & truth) >= 0.9 * len(truth), (len(found & truth), len(truth))
+
+
 def brute_lm(rows):
     texts = [(r[1] or "").encode().lower().split() for r in rows]
     one = Counter(w for t in texts for w in t)
