@@ -1,6 +1,6 @@
 """SQL that the queries must agree with."""
 
-from tarnsearch.llm.licenses import LicenseScan
+from tarnsearch.llm.licenses import LicenseScan, window_of
 
 ORACLES: dict[str, str] = {}
 
@@ -58,7 +58,9 @@ SELECT doc_id, coalesce(n, 0) AS n_words, round(score / n, 6) AS mean_log_score
 FROM documents LEFT JOIN scored USING (doc_id)"""
 
 _SCAN = LicenseScan()
-_TEMPLATES = ", ".join(f"('{label}', '{body}')" for label, body in _SCAN.templates)
+_TEMPLATES = ", ".join(
+    f"('{label}', '{body}', {window_of(body, _SCAN.window)})" for label, body in _SCAN.templates
+)
 _PHRASES = ", ".join(f"('{label}', '{phrase}')" for phrase, label in _SCAN.phrases)
 
 ORACLES["op4_license_scan"] = f"""
@@ -66,7 +68,7 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{PLAIN}') AS w FROM documents),
 phrases AS (SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {_PHRASES}) AS t(label, phrase)),
 templates AS (
-  SELECT label, list_distinct(string_split(body, ' ')) AS t FROM (VALUES {_TEMPLATES}) AS t(label, body)),
+  SELECT label, list_distinct(string_split(body, ' ')) AS t, win FROM (VALUES {_TEMPLATES}) AS t(label, body, win)),
 places AS (
   SELECT doc_id, label, i - 1 AS place
   FROM words, unnest(generate_series(1, len(w))) AS s(i), phrases
@@ -75,10 +77,10 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base
   FROM places GROUP BY doc_id),
 blocks AS (
-  SELECT doc_id, list_distinct(w[s + 1:s + {_SCAN.window}]) AS b
-  FROM words, unnest(generate_series(0, greatest(len(w) - {_SCAN.window // 2} - 1, 0), {_SCAN.window // 2})) AS t(s)),
+  SELECT doc_id, win, list_distinct(w[s + 1:s + win]) AS b
+  FROM words, (SELECT DISTINCT win FROM templates), unnest(generate_series(0, greatest(len(w) - win // 2 - 1, 0), win // 2)) AS t(s)),
 met AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) AS shared, len(t) AS n FROM blocks, templates),
+  SELECT doc_id, label, len(list_intersect(b, t)) AS shared, len(t) AS n FROM blocks JOIN templates USING (win)),
 best AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(shared / n) AS score
   FROM met WHERE 100 * shared >= {_SCAN.percent} * n GROUP BY doc_id)

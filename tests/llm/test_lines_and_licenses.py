@@ -68,6 +68,26 @@ def test_license_filters_lose_nothing(docs):
         assert found[doc] == ",".join(sorted(met))
 
 
+def test_long_templates(docs):
+    """Whole licenses longer than the window are met; half of one is not."""
+    short, long = prose(70, 200), " ".join(f"t{i}" for i in range(1500))
+    how = LicenseScan(phrases=(), templates=(("short", short), ("long", long)))
+    cut = " ".join(w for i, w in enumerate(long.split()) if i % 10)
+    rows = [
+        row(1, prose(1, 333) + " " + short + " " + prose(2, 100)),
+        row(2, " ".join(f"o{i}" for i in range(2222)) + "\n" + long.upper() + " " + "x " * 900),
+        row(3, "y " * 700 + cut),
+        row(4, " ".join(long.split()[:750])),
+        row(5, long.replace(" ", " " + "z " * 9)),
+        row(6, TEMPLATES[-2][1]),
+    ]
+    found = {r.doc_id: r for r in scan_licenses(docs(rows), how).collect()}
+    assert {i: r.labels for i, r in found.items()} == {1: "short", 2: "long", 3: "long", 4: "", 5: "", 6: ""}
+    assert (found[1].score, found[2].score, found[3].score) == (1.0, 1.0, 0.9)
+    whole = scan_licenses(docs(rows[5:])).first()
+    assert "mit" in whole.labels.split(",") and whole.score == 1.0
+
+
 def test_odd_rows(odd, empty):
     found = scan_licenses(odd)
     assert found.count() == len(ODD) and found.where("n_base > 0").count() == 0
