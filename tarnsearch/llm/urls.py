@@ -74,12 +74,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
 
     A rule fits its host and all subdomains, if the path starts with the rule's. The longest
     fitting rule wins; of equally long ones that with the longer host, then ``block``. A null URL, or one
-    without ``://``, has an empty host and no rule.
+    without ``://``, has an empty host and no rule. Rows that repeat another give the same
+    result again; an empty table gives no rows.
     """
     rules = materialize(prepared_rules(rules), "rules")
     # Lengths of paths among the rules: as many as there are lengths, not rules.
     lengths = sorted(r.n for r in rules.select(F.length("r_path").alias("n")).distinct().collect())
-    located = pages.select("page_id", url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    located = pages.select(
+        "page_id",
+        url_host(F.col(url)).alias("host"),
+        url_path(F.col(url)).alias("path"),
+    ).withColumn(
+        # No rule fits without a host: such rows need not meet under one key. No host has a slash.
+        "meets",
+        F.when(F.col("host") == "", F.concat(F.lit("/"), F.xxhash64("page_id", "path"))).otherwise(F.col("host")),
+    )
     places = materialize(located.where("host <> ''").select("host", "path").distinct(), "places")
     full = _digest(F.col("e.h"), F.col("e.p"))
     fitting = (
@@ -101,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
             ).alias("best")
         )
     )
-    return located.join(fitting, ["host", "path"], "left").select(
+    return located.join(fitting.withColumnRenamed("host", "meets"), ["meets", "path"], "left").select(
         F.col("page_id").cast("bigint").alias("page_id"),
         "host",
         "path",

@@ -1,3 +1,7 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from tarnsearch.llm.urls import filter_urls
 
 PAGES = "page_id bigint, url string, html string"
@@ -34,3 +38,21 @@ def test_equals_brute_force(spark):
     assert found == sorted(((i, *brute(u)) for i, u, _ in rows), key=str)
     assert filter_urls(pages.limit(0), rules).count() == 0
     assert filter_urls(pages, rules.limit(0)).where("verdict <> 'allow' or rule is not null").count() == 0
+
+
+def test_rows_without_a_host_are_spread(spark):
+    """A third of all rows without a host does not meet in one task."""
+    urls = spark.range(3000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'http://h' || id || '.net/' END AS url")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    hints = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hints}
+    try:
+        for k, v in hints.items():
+            spark.conf.set(k, v)
+        found = filter_urls(urls, rules).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 3000 and all((r.rule == "net/") == (r.host != "") for r in found)
+    hostless = Counter(r.task for r in found if r.host == "")
+    assert sum(hostless.values()) == 1000 and max(hostless.values()) < 500
