@@ -164,7 +164,11 @@ def with_matches(
 
 
 def contaminated(docs: DataFrame, items: DataFrame, how: Containment | None = None, text: str = "text") -> DataFrame:
-    """Pairs doc_id, item_id, n_shingles, n_shared, containment; one per row of docs and item."""
+    """Pairs doc_id, item_id, n_shingles, n_shared, containment; one per row of docs and item.
+
+    Null and empty texts hold nothing. Rows that repeat a document each give its pairs. An empty
+    table of documents gives no rows, and so does one of items.
+    """
     return (
         with_matches(docs, items, how, text)
         .select(F.col("_row.doc_id").cast("bigint").alias("doc_id"), F.explode("_matches").alias("m"))
@@ -179,5 +183,8 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Containment | None = No
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, how: Containment | None = None, text: str = "text") -> DataFrame:
-    """The documents that hold no item, all columns as they were."""
+    """The documents that hold no item, all columns as they were, whatever their names.
+
+    Null and empty texts stay, repeated rows stay or go together, without items all stay.
+    """
     return unpacked(with_matches(docs, items, how, text).where(F.size("_matches") == 0))

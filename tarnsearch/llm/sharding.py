@@ -83,7 +83,8 @@ def sharded(docs: DataFrame, shards: int, text: str = "text", carry: bool = Fals
     each shard; its own columns in ``_row``, all of them with ``carry``, else the doc_id.
 
     The docs must be read from a table, or be deterministic: they are scanned for the counts
-    and again for the exchange. A null text counts as an empty one.
+    and again for the exchange. A null text counts as an empty one. Rows that repeat another are
+    placed each for itself; an empty table gives no rows.
     """
     rows = packed(docs) if carry else docs.select(F.struct("doc_id", text).alias("_row"))
     body = F.col(f"_row.{text}")
