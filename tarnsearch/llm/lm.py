@@ -1,17 +1,19 @@
-"""Stupid-backoff scores of documents under the bigram model of all other documents.
+"""Stupid-backoff scores of documents under the n-gram model of all other documents.
 
 Counts cover the whole corpus; a document's own words are taken off again when it is scored, so that
 a text is not explained by itself. Done as tables of n-grams partitioned by hash:
 
-1. Texts are numbered in blocks of about ``BLOCK_WORDS`` words: words of the block by hash, texts as
-   arrays of numbers. Written once; a block is one row.
-2. The distinct n-grams of each block, with their counts, are exploded into the parts of the hash range.
-   What a block has in one part is one row: sorted hashes as steps, and counts, both as bytes that
-   compress well. Counting starts inside the blocks, so the commonest n-gram is an entry per block.
-3. Each part sums its counts, and every block gets back what the others have, in the order of its
-   hashes, which needs no keys. A block's counts meet its texts, and scores are summed per document.
-
-There are as many parts as keep each near ``PART_WORDS`` words, so no task grows with the input.
+1. Texts are numbered in blocks of about ``block_words`` words: the block's words by hash, its texts as
+   their numbers. Written once; a block is one row.
+2. The distinct n-grams of each block, with their counts, go to the parts of the hash range, as one row of
+   arrays per block and part. This is the only shuffle that n-grams of the whole corpus take.
+3. In their part they are exploded to rows (block, hash, count), and the count table of the part is joined
+   to them by a window over the hash: the sum without a second shuffle. What other blocks have too goes
+   back to its block; an n-gram that no other block has needs no answer.
+4. A block with its answers scores its texts, and the scores are summed per document.
+
+Counting starts inside the blocks: an n-gram, however frequent, is at most one row per block, so no key has more
+rows than the corpus has blocks. Groups of the window spill; no task holds more than a block and its answers.
 """
 
 from __future__ import annotations
@@ -20,219 +22,246 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnsearch.llm.text import SPACED, blocks, mix
+from tarnsearch.llm.text import SPACED, blocks, mix, one_by_one
 from tarnsearch.plans.work import materialize
 
-BLOCK_WORDS = 1 << 18
-PART_WORDS = 1 << 18
-LEAST_PART_BITS = 10
-_PAIR = np.uint64(0xA24BAED4963EE407)
+PART_WORDS = 1 << 24
+LEAST_PART_BITS = 12
+_NEXT = np.uint64(0xA24BAED4963EE407)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers as bytes: how many bytes the largest takes, then the lowest bytes of all, the next, ..."""
-    values = values.astype("<u8")
-    used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([used]) + values.view(np.uint8).reshape(-1, 8).T[:used].tobytes()
+@dataclass(frozen=True)
+class Backoff:
+    """N-grams of up to ``order`` words, ``discount`` per step back; an unseen word counts as ``unseen`` of one
+    occurrence. ``block_words`` is the size of a block, for memory only: it changes no score."""
 
+    order: int = 2
+    discount: float = 0.4
+    unseen: float = 0.5
+    block_words: int = 1 << 20
 
-def _numbers(planes: bytes) -> np.ndarray:
-    used = planes[0]
-    rows = np.frombuffer(planes, np.uint8)[1:].reshape(used, -1)
-    out = np.zeros((rows.shape[1], 8), np.uint8)
-    out[:, :used] = rows.T
-    return out.view("<i8").ravel()
+    def __post_init__(self):
+        if self.order < 1 or self.block_words < 1:
+            raise ValueError("order and block_words must be at least 1")
 
 
-def _steps(rising: np.ndarray) -> bytes:
-    """Sorted hashes as the first and the steps between them."""
-    return rising[:1].astype("<u8").tobytes() + _planes(np.diff(rising))
+def _lists(*columns: list[np.ndarray]) -> list[pa.Array]:
+    """Columns of arrays, from the arrays of each row."""
+    out = []
+    for rows in columns:
+        bounds = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rows))))
+    return out
 
 
-def _rising(steps: bytes) -> np.ndarray:
-    if len(steps) < 9:
-        return np.empty(0, np.uint64)
-    first = np.frombuffer(steps[:8], "<u8")
-    return np.cumsum(np.concatenate([first, _numbers(steps[8:]).view(np.uint64)]), dtype=np.uint64)
+BLOCKS = "block bigint, ids array<bigint>, bounds array<int>, numbers array<int>, words array<bigint>"
 
 
-@dataclass(frozen=True)
-class Backoff:
-    """``discount`` per step back; an unseen word counts as ``unseen`` of one occurrence."""
+def _encode(block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids: list[int | None] = []
+        lengths: list[int] = []
+        held: list[np.ndarray] = []
 
-    discount: float = 0.4
-    unseen: float = 0.5
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            words, numbers = np.unique(np.concatenate(held), return_inverse=True)
+            arrays = _lists(
+                [np.cumsum([0, *lengths]).astype(np.int32)], [numbers.astype(np.int32)], [words.view(np.int64)]
+            )
+            names = pa.array([ids], pa.list_(pa.int64()))
+            made += 1
+            ids.clear(), lengths.clear(), held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + made]), names, *arrays], names=["block", "ids", "bounds", "numbers", "words"]
+            )
 
+        for batch in batches:
+            names = iter(batch.column("id").to_pylist())
+            for block in blocks(one_by_one(batch.column("text")), SPACED):
+                held.append(block.words)
+                ids += [i for _, i in zip(block.texts, names)]
+                lengths += np.diff(block.bounds).tolist()
+                if sum(map(len, held)) >= block_words:
+                    yield flush()
+        if ids:
+            yield flush()
 
-ENCODED = "block bigint, ids array<bigint>, missing array<boolean>, n bigint, bounds array<int>, numbers binary, words binary"
-
-
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    made = 0
-    ids: list[object] = []
-    lengths: list[int] = []
-    held: list[np.ndarray] = []
-
-    def flush() -> pd.DataFrame:
-        nonlocal made
-        words, numbers = np.unique(np.concatenate(held), return_inverse=True)
-        row = {
-            "block": (TaskContext.get().partitionId() << 32) + made,
-            "ids": [int(i or 0) for i in ids],
-            "missing": [i is None for i in ids],
-            "bounds": np.cumsum([0, *lengths]).astype(np.int32),
-            "n": len(numbers),
-            "numbers": _planes(numbers),
-            "words": _steps(words),
-        }
-        made += 1
-        ids.clear(), lengths.clear(), held.clear()
-        return pd.DataFrame([row])
-
-    for batch in batches:
-        names = iter(batch["id"])
-        for block in blocks(batch["text"], SPACED):
-            held.append(block.words)
-            ids += [None if pd.isna(i) else i for _, i in zip(block.texts, names)]
-            lengths += np.diff(block.bounds).tolist()
-            if sum(map(len, held)) >= BLOCK_WORDS:
-                yield flush()
-    if ids:
-        yield flush()
-
-
-def _pairs(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray):
-    """The block's distinct word pairs as codes, their hashes, and the number of the pair ending at each
-    word (-1 where a text begins)."""
-    begins = np.zeros(len(numbers) + 1, bool)
-    begins[bounds] = True
-    at = np.flatnonzero(~begins[:-1])
-    codes = numbers[at - 1].astype(np.int64) * max(1, len(words)) + numbers[at]
-    distinct, inverse = np.unique(codes, return_inverse=True)
-    ending = np.full(len(numbers), -1, np.int64)
-    ending[at] = inverse
-    hashes = mix(words[distinct // max(1, len(words))] * _PAIR + words[distinct % max(1, len(words))])
-    return hashes, ending, np.bincount(inverse, minlength=len(distinct))
+    return run
 
 
-def _part_bits(total: int) -> int:
-    """Of a hash, the bits that name its part."""
-    return max(LEAST_PART_BITS, (total // PART_WORDS).bit_length())
+@dataclass
+class NGrams:
+    """The distinct n-grams of a block, those of one word first: their hashes and counts, and, per order, the
+    number of the one that ends at each word of the block (-1 where its text has too few words before)."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    ending: list[np.ndarray]
+
+    def by_hash(self) -> np.ndarray:
+        return np.argsort(self.hashes, kind="stable")
+
+
+def _ngrams(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray, order: int) -> NGrams:
+    place = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
+    hashes, counts = [words], [np.bincount(numbers, minlength=len(words))]
+    # ``last`` is numbered within its own order, ``ending`` over all orders.
+    last, ending, made = numbers.astype(np.int64), [numbers.astype(np.int64)], len(words)
+    for k in range(2, order + 1):
+        at = np.flatnonzero(place >= k - 1)
+        distinct, which = np.unique(last[at - 1] * max(1, len(words)) + numbers[at], return_inverse=True)
+        before, word = np.divmod(distinct, max(1, len(words)))
+        hashes.append(mix(hashes[-1][before] * _NEXT + words[word]))
+        counts.append(np.bincount(which, minlength=len(distinct)))
+        last = np.full(len(numbers), -1, np.int64)
+        last[at] = which
+        ending.append(np.where(last < 0, -1, last + made))
+        made += len(distinct)
+    return NGrams(np.concatenate(hashes), np.concatenate(counts), ending)
 
 
-PIECES = "part bigint, block bigint, hashes binary, counts binary"
+def _column(batch: pa.RecordBatch, name: str, row: int, kind=None) -> np.ndarray:
+    values = batch.column(name)[row].values
+    found = np.empty(0, np.int64) if values is None else values.to_numpy(zero_copy_only=False)
+    return found if kind is None else found.view(kind)
 
 
-def _ngrams(bits: int):
+def _block_ngrams(batch: pa.RecordBatch, row: int, order: int) -> tuple[np.ndarray, NGrams]:
+    bounds = _column(batch, "bounds", row)
+    numbers, words = _column(batch, "numbers", row), _column(batch, "words", row, np.uint64)
+    return bounds, _ngrams(bounds, numbers, words, order)
+
+
+PIECES = "part int, block bigint, first int, hashes array<bigint>, counts array<int>"
+
+
+def _pieces(order: int, bits: int):
     """The n-grams of each block in the order of their hashes, cut at the bounds of the parts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                numbers, words = _numbers(row.numbers), _rising(row.words)
-                if not len(words):
+            for row, block in enumerate(batch.column("block").to_pylist()):
+                _, grams = _block_ngrams(batch, row, order)
+                if not len(grams.hashes):
                     continue
-                hashes, _, pair_counts = _pairs(np.asarray(row.bounds), numbers, words)
-                every = np.concatenate([words, hashes])
-                counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts])
-                order = np.argsort(every, kind="stable")
-                every, counts = every[order], counts[order]
-                parts = (every >> np.uint64(64 - bits)).astype(np.int64)
+                sort = grams.by_hash()
+                hashes, counts = grams.hashes[sort], grams.counts[sort].astype(np.int32)
+                parts = (hashes >> np.uint64(64 - bits)).astype(np.int32)
                 cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1
-                first = np.concatenate(([0], cuts))
-                yield pd.DataFrame(
-                    {
-                        "part": parts[first],
-                        "block": np.full(len(first), row.block, np.int64),
-                        "hashes": [_steps(h) for h in np.split(every, cuts)],
-                        "counts": [_planes(c) for c in np.split(counts, cuts)],
-                    }
+                first = np.concatenate(([0], cuts)).astype(np.int32)
+                bounds = np.append(first, len(hashes)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(parts[first]),
+                        pa.array(np.full(len(first), block, np.int64)),
+                        pa.array(first),
+                        pa.ListArray.from_arrays(bounds, pa.array(hashes.view(np.int64))),
+                        pa.ListArray.from_arrays(bounds, pa.array(counts)),
+                    ],
+                    names=["part", "block", "first", "hashes", "counts"],
                 )
 
     return run
 
 
-OTHERS = "block bigint, part bigint, others binary"
-
-
-def _sums(pieces: pd.DataFrame) -> pd.DataFrame:
-    """How often the other blocks have each n-gram of a part; per block, in the order of its piece."""
-    hashes, counts = [_rising(h) for h in pieces["hashes"]], np.concatenate([_numbers(c) for c in pieces["counts"]])
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    others = np.bincount(which, weights=counts).astype(np.int64)[which] - counts
-    cuts = np.cumsum([len(h) for h in hashes])[:-1]
-    own = [_planes(o) for o in np.split(others, cuts)]
-    return pd.DataFrame({"block": pieces["block"], "part": pieces["part"], "others": own})
-
-
-SCORES = "array<struct<doc_id: bigint, n_words: bigint, log_score: double>>"
-
-
-def _scorer(total: int, how: Backoff):
-    def one(ids, missing, bounds, numbers, words, others):
-        bounds, numbers, words = np.asarray(bounds), _numbers(numbers), _rising(words)
-        hashes, ending, pair_counts = _pairs(bounds, numbers, words)
-        counts = np.concatenate([np.bincount(numbers, minlength=len(words)), pair_counts]).astype(np.int64)
-        if others is not None and len(others):
-            order = np.argsort(np.concatenate([words, hashes]), kind="stable")
-            counts[order] += np.concatenate([_numbers(o) for o in others])
-        single, double = counts[: len(words)], counts[len(words) :]
-        out = []
-        for i, gone, a, b in zip(ids, missing, bounds[:-1], bounds[1:]):
-            log_score = None
-            if b > a:
-                own, which, own_counts = np.unique(numbers[a:b], return_inverse=True, return_counts=True)
-                others = (single[own] - own_counts)[which]
-                rest = max(1, total - int(b - a))
-                back = np.where(others > 0, others, how.unseen) / rest
-                score = back.copy()
-                if b - a > 1:
-                    pairs, which, own_counts = np.unique(ending[a + 1 : b], return_inverse=True, return_counts=True)
-                    seen = (double[pairs] - own_counts)[which]
-                    # Where the pair is seen elsewhere, so is its first word, followed by another.
-                    score[1:] = np.where(seen > 0, seen / np.maximum(others[:-1], 1), how.discount * back[1:])
-                log_score = float(np.log(score).sum())
-            out.append({"doc_id": None if gone else int(i), "n_words": int(b - a), "log_score": log_score})
-        return out
-
-    def run(
-        ids: pd.Series, missing: pd.Series, bounds: pd.Series, numbers: pd.Series, words: pd.Series, others: pd.Series
-    ) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(ids, missing, bounds, numbers, words, others)], dtype=object)
-
-    return F.pandas_udf(run, SCORES)
+def _part_bits(total: int) -> int:
+    """Of a hash, the bits that name its part."""
+    return max(LEAST_PART_BITS, (total // PART_WORDS).bit_length())
+
+
+def found_elsewhere(encoded: DataFrame, order: int, total: int) -> DataFrame:
+    """Per block two arrays: numbers of its n-grams in the order of their hashes, and how often the other
+    blocks have each; only n-grams that some other block has."""
+    exploded = (
+        encoded.select("block", "bounds", "numbers", "words")
+        .mapInArrow(_pieces(order, _part_bits(total)), PIECES)
+        .repartition("part")
+        .select("part", "block", "first", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "gram"))
+        .select("part", "block", (F.col("first") + F.col("at")).alias("at"), "gram.hashes", "gram.counts")
+    )
+    # The hash comes first, so that rows are sorted by whole numbers; the part is what they are dealt by.
+    everywhere = F.sum("counts").over(Window.partitionBy("hashes", "part"))
+    return (
+        exploded.withColumn("others", everywhere - F.col("counts"))
+        .filter("others > 0")
+        .groupBy("block")
+        .agg(F.collect_list("at").alias("at"), F.collect_list("others").alias("others"))
+    )
+
 
+SCORES = "doc_id bigint, n_words bigint, log_score double"
 
-def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, log_score, mean_log_score (null without words).
 
-    Words are between white space, A-Z lower-cased. log_score sums the logarithms over the words: the
-    first by its share of the other documents' words, the others by how often the pair is found
-    there per first word, or, never found, ``discount`` times the share of the second word.
-    Repeated rows are documents of their own.
+def _log_score(ending: list[np.ndarray], counts: np.ndarray, total: int, how: Backoff) -> float:
+    """Of one text: numbers of the n-grams ending at its words, and how often the corpus has each."""
+    rest = max(1, total - len(ending[0]))
+    score = history = None
+    for k, grams in enumerate(ending):
+        grams = grams[k:]
+        if not len(grams):
+            break
+        own, which, own_counts = np.unique(grams, return_inverse=True, return_counts=True)
+        others = (counts[own] - own_counts)[which]
+        if k == 0:
+            score = np.where(others > 0, others, how.unseen) / rest
+        else:
+            # Where an n-gram is seen elsewhere, so is what it begins with.
+            seen = others / np.maximum(history[:-1], 1)
+            score[k:] = np.where(others > 0, seen, how.discount * score[k:])
+        history = others
+    return float(np.log(score).sum())
+
+
+def _scored(how: Backoff, total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, ids in enumerate(batch.column("ids")):
+                bounds, grams = _block_ngrams(batch, row, how.order)
+                counts = grams.counts.astype(np.int64)
+                at = _column(batch, "at", row)
+                if len(at):
+                    counts[grams.by_hash()[at]] += _column(batch, "others", row)
+                scores = [
+                    _log_score([e[a:b] for e in grams.ending], counts, total, how) if b > a else None
+                    for a, b in zip(bounds[:-1], bounds[1:])
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids.as_py(), pa.int64()),
+                        pa.array(np.diff(bounds).astype(np.int64)),
+                        pa.array(scores, pa.float64()),
+                    ],
+                    names=["doc_id", "n_words", "log_score"],
+                )
+
+    return run
+
+
+def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, log_score, mean_log_score.
+
+    Words are between white space, A-Z lower-cased. log_score sums the logarithms over the words. A word
+    after its history of ``order - 1`` words (fewer where the text begins) scores by how often the other documents
+    have both per history; never found together, ``discount`` times the score after a history shorter by one word;
+    without history its share of the other documents' words. Null and empty texts have no words and null scores;
+    a null doc_id stays null; repeated rows are documents of their own, each scored by the others; no documents
+    give no rows; further columns are not looked at. N-grams are told apart by 64-bit hashes.
     """
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
-    encoded = materialize(texts.mapInPandas(_encode, ENCODED), "blocks")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    elsewhere = (
-        encoded.select("block", "bounds", "numbers", "words")
-        .mapInPandas(_ngrams(_part_bits(total)), PIECES)
-        .groupBy("part")
-        .applyInPandas(_sums, OTHERS)
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "others"))).alias("pieces"))
-        .select("block", F.col("pieces.others").alias("others"))
-    )
-    scores = _scorer(total, how)("ids", "missing", "bounds", "numbers", "words", "others")
+    # Written, because a block is a fact about one run.
+    encoded = materialize(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks")
+    total = encoded.agg(F.sum(F.size("numbers").cast("bigint"))).first()[0] or 0
+    elsewhere = found_elsewhere(encoded, how.order, total)
     return (
         encoded.join(elsewhere, "block", "left")
-        .select(F.explode(scores).alias("s"))
-        .select("s.*")
+        .mapInArrow(_scored(how, total), SCORES)
         .withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
     )

@@ -5,7 +5,7 @@ from itertools import accumulate
 
 import pytest
 
-from tarnsearch.llm.lm import backoff_scores
+from tarnsearch.llm.lm import Backoff, backoff_scores
 from tarnsearch.llm.passages import Passages, chains, shared_passages, stretches
 from tests.llm.conftest import ODD, prose, row
 
@@ -105,25 +105,61 @@ def test_recall_of_fuzzy_passages(docs, replaced):
     assert len(truth) > 60 and len(found & truth) >= 0.9 * len(truth), (len(found & truth), len(truth))
 
 
-def brute_lm(rows):
+def brute_lm(rows, order=2):
+    """Each word's score by its longest history that other documents have before it, from plain counts."""
     texts = [(r[1] or "").encode().lower().split() for r in rows]
-    one = Counter(w for t in texts for w in t)
-    two = Counter(p for t in texts for p in zip(t, t[1:]))
-    total = sum(one.values())
+
+    def count(words):
+        return Counter(tuple(words[i : i + k]) for k in range(1, order + 1) for i in range(len(words) - k + 1))
+
+    every = sum(map(count, texts), Counter())
+    total = sum(map(len, texts))
     out = []
     for r, t in zip(rows, texts):
-        own, own_two, score = Counter(t), Counter(zip(t, t[1:])), 0.0
-        for i, w in enumerate(t):
-            back = (one[w] - own[w] or 0.5) / max(1, total - len(t))
-            seen = two[(t[i - 1], w)] - own_two[(t[i - 1], w)] if i else 0
-            score += math.log(seen / (one[t[i - 1]] - own[t[i - 1]]) if seen else back if not i else 0.4 * back)
+        rest = every.copy()
+        rest.subtract(count(t))
+        score = 0.0
+        for i in range(len(t)):
+            longest = min(order, i + 1)
+            for k in range(longest, 0, -1):
+                gram = tuple(t[i - k + 1 : i + 1])
+                if k == 1:
+                    share = (rest[gram] or 0.5) / max(1, total - len(t))
+                elif rest[gram]:
+                    share = rest[gram] / rest[gram[:-1]]
+                else:
+                    continue
+                score += math.log(share * 0.4 ** (longest - k))
+                break
         out.append((r[0], len(t), round(score, 4) if t else None))
     return sorted(out, key=str)
 
 
+def scores(frame, how=None):
+    found = backoff_scores(frame, how).collect()
+    return sorted(((r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 4)) for r in found), key=str)
+
+
 def test_scores_equal_brute_force(docs, odd, empty):
     rows = ODD + [row(20 + i, prose(i % 9, 30 + i)) for i in range(60)]
     for frame in (docs(rows), docs(rows).repartition(7)):
-        found = [(r.doc_id, r.n_words, None if r.log_score is None else round(r.log_score, 4)) for r in backoff_scores(frame).collect()]
-        assert sorted(found, key=str) == brute_lm(rows)
+        assert scores(frame) == brute_lm(rows)
     assert backoff_scores(odd).count() == len(ODD) and backoff_scores(empty).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_scores_of_other_orders(docs, order):
+    rows = ODD + [row(20 + i, prose(i % 7, 25 + i)) for i in range(40)]
+    assert scores(docs(rows).repartition(3), Backoff(order=order, block_words=90)) == brute_lm(rows, order)
+
+
+def test_a_word_in_every_one_of_many_blocks(docs):
+    """A third of all words are one word; blocks hold a text each. Block size changes no score."""
+    rows = [row(i, " ".join(f"the {w} {w}{i % 3}" for w in prose(i % 20, 12).split())) for i in range(300)]
+    small, large = Backoff(block_words=1), Backoff()
+    assert scores(docs(rows).repartition(4), small) == scores(docs(rows), large) == brute_lm(rows)
+
+
+def test_scores_check_their_settings():
+    with pytest.raises(ValueError):
+        Backoff(order=0)
