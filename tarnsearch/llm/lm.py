@@ -31,7 +31,7 @@ from tarnsearch.llm.text import SPACED, blocks, mix, one_by_one
 from tarnsearch.plans.work import materialize
 
 PART_WORDS = 1 << 24
-LEAST_PART_BITS = 12
+LEAST_PART_BITS = 11
 _NEXT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -59,7 +59,7 @@ def _lists(*columns: list[np.ndarray]) -> list[pa.Array]:
     return out
 
 
-BLOCKS = "block bigint, ids array<bigint>, bounds array<int>, numbers array<int>, words array<bigint>"
+BLOCKS = "block bigint, ids array<bigint>, bounds array<int>, numbers binary, words array<bigint>"
 
 
 def _encode(block_words: int):
@@ -71,16 +71,17 @@ def _encode(block_words: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal made
-            words, numbers = np.unique(np.concatenate(held), return_inverse=True)
-            arrays = _lists(
-                [np.cumsum([0, *lengths]).astype(np.int32)], [numbers.astype(np.int32)], [words.view(np.int64)]
-            )
-            names = pa.array([ids], pa.list_(pa.int64()))
+            words, numbers, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            # Frequent words have small numbers, which are squeezed well.
+            by_count = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[by_count] = np.arange(len(words), dtype=np.int32)
+            squeezed = pa.compress(rank[numbers].tobytes(), codec="zstd", asbytes=True)
+            bounds, words = _lists([np.cumsum([0, *lengths]).astype(np.int32)], [words[by_count].view(np.int64)])
+            columns = [pa.array([first + made]), pa.array([ids], pa.list_(pa.int64())), bounds, pa.array([squeezed]), words]
             made += 1
             ids.clear(), lengths.clear(), held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([first + made]), names, *arrays], names=["block", "ids", "bounds", "numbers", "words"]
-            )
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "bounds", "numbers", "words"])
 
         for batch in batches:
             names = iter(batch.column("id").to_pylist())
@@ -135,8 +136,9 @@ def _column(batch: pa.RecordBatch, name: str, row: int, kind=None) -> np.ndarray
 
 def _block_ngrams(batch: pa.RecordBatch, row: int, order: int) -> tuple[np.ndarray, NGrams]:
     bounds = _column(batch, "bounds", row)
-    numbers, words = _column(batch, "numbers", row), _column(batch, "words", row, np.uint64)
-    return bounds, _ngrams(bounds, numbers, words, order)
+    squeezed = batch.column("numbers")[row].as_buffer()
+    numbers = np.frombuffer(pa.decompress(squeezed, 4 * int(bounds[-1]), codec="zstd"), np.int32)
+    return bounds, _ngrams(bounds, numbers, _column(batch, "words", row, np.uint64), order)
 
 
 PIECES = "part int, block bigint, first int, hashes array<bigint>, counts array<int>"
@@ -258,7 +260,7 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     # Written, because a block is a fact about one run.
     encoded = materialize(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks")
-    total = encoded.agg(F.sum(F.size("numbers").cast("bigint"))).first()[0] or 0
+    total = encoded.agg(F.sum(F.element_at("bounds", -1).cast("bigint"))).first()[0] or 0
     elsewhere = found_elsewhere(encoded, how.order, total)
     return (
         encoded.join(elsewhere, "block", "left")
