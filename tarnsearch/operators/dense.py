@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.topk import ProductTopK
@@ -41,11 +41,10 @@ def index_stats(vectors: DataFrame) -> DataFrame:
     )
 
 
-def vector_violations(vectors: DataFrame, dim: int) -> DataFrame:
-    """Rows an index of width ``dim`` must not take: one row per id and reason."""
-    positive("dim", dim)
+def row_reasons(dim: int) -> Column:
+    """Array of what is wrong with a row ``(chunk_id, embedding)`` on its own."""
     embedding = F.col("embedding")
-    reasons = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(F.col("chunk_id").isNull(), "missing id"),
             F.when(embedding.isNull(), "missing vector"),
@@ -53,7 +52,19 @@ def vector_violations(vectors: DataFrame, dim: int) -> DataFrame:
             F.when(F.exists(embedding, lambda x: x.isNull() | F.isnan(x)), "missing element"),
         )
     )
-    by_row = vectors.select("chunk_id", F.explode(reasons).alias("reason")).distinct()
+
+
+def checked_rows(vectors: DataFrame, dim: int) -> DataFrame:
+    """The same rows; one that an index of width ``dim`` must not take raises when it is read."""
+    wrong = row_reasons(positive("dim", dim))
+    named = F.coalesce(F.col("chunk_id").cast("string"), F.lit("null"))
+    problem = F.raise_error(F.concat(F.lit("vector of chunk "), named, F.lit(": "), F.array_join(wrong, ", ")))
+    return vectors.withColumn("embedding", F.when(F.size(wrong) > 0, problem.cast("array<float>")).otherwise(F.col("embedding")))
+
+
+def vector_violations(vectors: DataFrame, dim: int) -> DataFrame:
+    """Rows an index of width ``dim`` must not take: one row per id and reason."""
+    by_row = vectors.select("chunk_id", F.explode(row_reasons(positive("dim", dim))).alias("reason")).distinct()
     repeated = (
         vectors.filter("chunk_id IS NOT NULL")
         .groupBy("chunk_id")

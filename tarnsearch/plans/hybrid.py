@@ -11,7 +11,7 @@ from tarnsearch.operators import blockmax, bm25, dense, fusion
 from tarnsearch.operators.embedding import Embedder, embed
 from tarnsearch.operators.rerank import distinct_terms, overlap_score, rerank_topk
 from tarnsearch.params import K_BM25, K_DENSE, K_FINAL, K_RRF, TOPN
-from tarnsearch.plans.work import materialize, spread
+from tarnsearch.plans.work import materialize
 
 
 @dataclass(frozen=True)
@@ -68,12 +68,12 @@ def retrieve(
         corpus.vectors, asked, k_dense, corpus.metric, dim=corpus.embedder.dim
     )
     fused = fusion.rrf_fuse([by_words, by_vectors], k_rrf, topn)
-    return fusion.gather_candidates(fused, corpus.chunks, at_most=questions.count() * topn)
+    return fusion.gather_candidates(fused, corpus.chunks)
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, k_final: int = K_FINAL) -> DataFrame:
-    """Candidates reordered by the stand-in pair score."""
+    """Candidates reordered by the stand-in pair score, where they are joined with their question. Each
+    task keeps its best ``k_final`` per question before the texts are shuffled to be ranked."""
     asked = questions.select("query_id", "query", distinct_terms(F.col("query")).alias("asked"))
-    pairs = spread(candidates.join(asked, "query_id"), "query_id", "chunk_id")
-    scored = pairs.withColumn("score", overlap_score(F.col("asked"), F.col("text")))
+    scored = candidates.join(asked, "query_id").withColumn("score", overlap_score(F.col("asked"), F.col("text")))
     return rerank_topk(scored.drop("asked"), k_final)

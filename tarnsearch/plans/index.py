@@ -176,12 +176,6 @@ def _check_ids(now: DataFrame) -> None:
         raise ValueError(f"documents need one doc_id each, found again or null: {repeated[0]['path']}")
 
 
-def _check_vectors(vectors: DataFrame, embedder: Embedder) -> None:
-    bad = dense.vector_violations(vectors, embedder.dim).head(1)
-    if bad:
-        raise ValueError(f"vector of chunk {bad[0]['chunk_id']}: {bad[0]['reason']}")
-
-
 def _write(df: DataFrame, root: str, table: str, version: int) -> DataFrame:
     # Overwriting makes a retry after a crash start from nothing.
     path = f"{root}/{table}/version={version}"
@@ -202,7 +196,8 @@ def _write_chunks(
         first_id=first_id,
     )
     chunks = _write(numbered, root, "chunks", version)
-    _check_vectors(_write(embed(chunks, embedder), root, "vectors", version), embedder)
+    # Ids are dense by construction; rows are checked in the pass that embeds them.
+    _write(dense.checked_rows(embed(chunks, embedder), embedder.dim), root, "vectors", version)
     counted = _write(bm25.postings(chunks), root, "postings", version)
     last = chunks.agg(F.max("chunk_id")).first()[0]
     return counted, first_id if last is None else last + 1

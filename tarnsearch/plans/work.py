@@ -17,11 +17,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt out over all cores before costly work on each of them.
+    """Rows dealt out before costly work on each of them: over all cores, or as many partitions as the session
+    has for shuffles, which is what is set by volume.
 
     The number is given, because small rows would otherwise be gathered into few tasks.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, shuffled), *keys)
 
 
 @cache
@@ -52,3 +55,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = work_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def materialize_in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Write the table once, dealt into buckets by ``key``, and read it back: joining it by ``key`` moves only the
+    other side.
+
+    Nothing is shuffled to write it. A task writes a file per bucket it has rows of, so this is for
+    keys that are one and the same within a task. There are as many buckets as shuffle partitions.
+    The table's name is dropped at once; the files stay, as those of ``materialize`` do.
+    """
+    spark = df.sparkSession
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    name = f"tarnsearch_{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", work_folder(spark, label)).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table

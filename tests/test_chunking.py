@@ -101,6 +101,25 @@ def test_chunk_ids_run_over_all_documents(frame):
     assert [r.chunk_id for r in rows] == list(range(10, 10 + len(expected)))
 
 
+def test_numbering_moves_no_text(spark, frame):
+    docs = [(i, f"s{i % 3}", "word " * (i % 9)) for i in range(200)]
+    numbered = number_chunks(frame(docs, "doc_id long, source string, text string").repartition(5), ["doc_id"], 40, 8)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    texts, narrow = plan.split("FileScan", 1)[0], plan.split("FileScan", 1)[1]
+    # From the scan of the texts to the chunks nothing is exchanged; the other scans read no text.
+    assert "Exchange" not in texts and "Exchange" in narrow and "ShuffledHashJoin" in texts
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert [("text#" in scan.split("Batched")[0]) for scan in scans] == [True] + [False] * (len(scans) - 1)
+    # An array goes with a block, not with every chunk.
+    assert "Generate posexplode" in plan and "_firsts" not in plan.split("Generate posexplode")[1].splitlines()[0]
+    assert not any(t.name.startswith("tarnsearch_") for t in spark.catalog.listTables())
+
+
+def test_numbering_nothing(frame):
+    assert number_chunks(frame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+    assert number_chunks(frame([(1, None), (2, " ")], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SAMPLE_CORPUS), reason="sample corpus not there")
 def test_sample_corpus(spark):
     """Known chunk counts of four text files, in name order."""

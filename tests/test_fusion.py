@@ -1,6 +1,6 @@
 import pytest
 
-from tarnsearch.operators.fusion import gather_candidates, rank_list, rrf_fuse
+from tarnsearch.operators.fusion import candidate_filter, gather_candidates, may_be_wanted, rank_list, rrf_fuse
 
 HITS = "query_id long, chunk_id long, score double"
 
@@ -58,3 +58,32 @@ def test_gather(lists, frame):
     )
     rows = gather_candidates(rrf_fuse(lists, topn=2), chunks).orderBy("rank").collect()
     assert [(r.chunk_id, r.source, r.text) for r in rows] == [(1, "s1", "text 1"), (3, "s3", "text 3")]
+
+
+@pytest.mark.parametrize("words", [1, 7, 1 << 18])
+def test_gather_is_one_form_at_every_filter_size(frame, words):
+    chunks = frame([(i, f"s{i}", f"text {i}") for i in range(500)], "chunk_id long, source_path string, text string")
+    fused = frame([(q, (q * 37 + r * 11) % 600, r, 1.0 / r) for q in range(40) for r in range(1, 9)],
+                  "query_id long, chunk_id long, rank int, rrf_score double")
+    expected = sorted((r.query_id, r.chunk_id, r.rank, f"text {r.chunk_id}") for r in fused.collect() if r.chunk_id < 500)
+    got = gather_candidates(fused, chunks, words=words)
+    assert sorted((r.query_id, r.chunk_id, r.rank, r.text) for r in got.collect()) == expected
+
+
+def test_filter_lets_all_wanted_and_few_others_through(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", "chunk_id")
+    wanted = rows.filter("chunk_id % 100 = 7")
+    table = candidate_filter(wanted, "chunk_id", 1 << 8)
+    assert table.count() <= 1 << 8
+    through = may_be_wanted(rows, table, "chunk_id", 1 << 8)
+    assert through.columns == ["chunk_id"]
+    assert through.filter("chunk_id % 100 = 7").count() == 1000 and through.count() < 4000
+    assert may_be_wanted(rows, candidate_filter(wanted.limit(0), "chunk_id"), "chunk_id").count() == 0
+
+
+def test_filter_moves_no_chunk(spark):
+    rows = spark.range(1000).selectExpr("id AS chunk_id", "cast(id AS string) AS text")
+    table = candidate_filter(rows.filter("chunk_id < 9"), "chunk_id")
+    plan = may_be_wanted(rows, table, "chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert all("text" not in line for line in plan.splitlines() if "Exchange" in line)

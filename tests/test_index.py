@@ -1,6 +1,7 @@
 import pytest
 
 from tarnsearch.operators import bm25
+from tarnsearch.operators.dense import checked_rows
 from tarnsearch.operators.embedding import hash_embedder
 from tarnsearch.plans.answer import ask
 from tarnsearch.plans.hybrid import index_in_place, rerank, retrieve
@@ -74,6 +75,13 @@ def test_settings_must_agree(spark, frame, settings):
         index.corpus(hash_embedder(64))
 
 
+def test_bad_vectors_end_the_build(spark, frame):
+    vectors = frame([(1, [0.0, 1.0, 0.0, 0.0]), (2, [0.0])], "chunk_id long, embedding array<float>")
+    assert checked_rows(vectors.filter("chunk_id = 1"), 4).count() == 1
+    with pytest.raises(Exception, match="vector of chunk 2: wrong dimension"):
+        checked_rows(vectors, 4).collect()
+
+
 def test_nothing_published(spark):
     assert open_index(spark, work_folder(spark, "none")) is None
 
