@@ -4,7 +4,7 @@ Counts cover the whole corpus; a document's own words are taken off again when i
 a text is not explained by itself. Done as tables of n-grams partitioned by hash:
 
 1. Texts are numbered in blocks of about ``block_words`` words: the block's words by hash, its texts as
-   their numbers. Written once; a block is one row.
+   their numbers. Written once, in buckets; a block is one row, and it is not moved again.
 2. The distinct n-grams of each block, with their counts, go to the parts of the hash range, as one row of
    arrays per block and part. This is the only shuffle that n-grams of the whole corpus take.
 3. In their part they are exploded to rows (block, hash, count), and the count table of the part is joined
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnsearch.llm.text import SPACED, blocks, mix, one_by_one
-from tarnsearch.plans.work import materialize
+from tarnsearch.plans.work import materialize_in_buckets
 
 PART_WORDS = 1 << 24
 LEAST_PART_BITS = 11
@@ -43,7 +43,7 @@ class Backoff:
     order: int = 2
     discount: float = 0.4
     unseen: float = 0.5
-    block_words: int = 1 << 20
+    block_words: int = 1 << 21
 
     def __post_init__(self):
         if self.order < 1 or self.block_words < 1:
@@ -114,16 +114,17 @@ def _ngrams(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray, order: i
     place = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
     hashes, counts = [words], [np.bincount(numbers, minlength=len(words))]
     # ``last`` is numbered within its own order, ``ending`` over all orders.
-    last, ending, made = numbers.astype(np.int64), [numbers.astype(np.int64)], len(words)
+    last, ending, made = numbers, [numbers], len(words)
     for k in range(2, order + 1):
         at = np.flatnonzero(place >= k - 1)
-        distinct, which = np.unique(last[at - 1] * max(1, len(words)) + numbers[at], return_inverse=True)
+        codes = last[at - 1].astype(np.int64) * max(1, len(words)) + numbers[at]
+        distinct, which = np.unique(codes, return_inverse=True)
         before, word = np.divmod(distinct, max(1, len(words)))
         hashes.append(mix(hashes[-1][before] * _NEXT + words[word]))
         counts.append(np.bincount(which, minlength=len(distinct)))
-        last = np.full(len(numbers), -1, np.int64)
+        last = np.full(len(numbers), -1, np.int32)
         last[at] = which
-        ending.append(np.where(last < 0, -1, last + made))
+        ending.append(np.where(last < 0, np.int32(-1), last + np.int32(made)))
         made += len(distinct)
     return NGrams(np.concatenate(hashes), np.concatenate(counts), ending)
 
@@ -259,11 +260,11 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     # Written, because a block is a fact about one run.
-    encoded = materialize(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks")
+    encoded = materialize_in_buckets(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks", "block")
     total = encoded.agg(F.sum(F.element_at("bounds", -1).cast("bigint"))).first()[0] or 0
     elsewhere = found_elsewhere(encoded, how.order, total)
     return (
-        encoded.join(elsewhere, "block", "left")
+        encoded.join(elsewhere.hint("shuffle_hash"), "block", "left")
         .mapInArrow(_scored(how, total), SCORES)
         .withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
     )
