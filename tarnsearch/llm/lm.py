@@ -43,7 +43,7 @@ class Backoff:
     order: int = 2
     discount: float = 0.4
     unseen: float = 0.5
-    block_words: int = 1 << 21
+    block_words: int = 3 << 19
 
     def __post_init__(self):
         if self.order < 1 or self.block_words < 1:
@@ -111,19 +111,21 @@ class NGrams:
 
 
 def _ngrams(bounds: np.ndarray, numbers: np.ndarray, words: np.ndarray, order: int) -> NGrams:
-    place = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
-    hashes, counts = [words], [np.bincount(numbers, minlength=len(words))]
+    place = np.arange(len(numbers), dtype=np.int32) - np.repeat(bounds[:-1], np.diff(bounds))
+    hashes, counts = [words], [np.bincount(numbers, minlength=len(words)).astype(np.int32)]
     # ``last`` is numbered within its own order, ``ending`` over all orders.
     last, ending, made = numbers, [numbers], len(words)
     for k in range(2, order + 1):
         at = np.flatnonzero(place >= k - 1)
         codes = last[at - 1].astype(np.int64) * max(1, len(words)) + numbers[at]
         distinct, which = np.unique(codes, return_inverse=True)
+        del codes
         before, word = np.divmod(distinct, max(1, len(words)))
         hashes.append(mix(hashes[-1][before] * _NEXT + words[word]))
-        counts.append(np.bincount(which, minlength=len(distinct)))
+        counts.append(np.bincount(which, minlength=len(distinct)).astype(np.int32))
         last = np.full(len(numbers), -1, np.int32)
         last[at] = which
+        del at, which
         ending.append(np.where(last < 0, np.int32(-1), last + np.int32(made)))
         made += len(distinct)
     return NGrams(np.concatenate(hashes), np.concatenate(counts), ending)
@@ -155,7 +157,7 @@ def _pieces(order: int, bits: int):
                 if not len(grams.hashes):
                     continue
                 sort = grams.by_hash()
-                hashes, counts = grams.hashes[sort], grams.counts[sort].astype(np.int32)
+                hashes, counts = grams.hashes[sort], grams.counts[sort]
                 parts = (hashes >> np.uint64(64 - bits)).astype(np.int32)
                 cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1
                 first = np.concatenate(([0], cuts)).astype(np.int32)
@@ -231,6 +233,7 @@ def _scored(how: Backoff, total: int):
                 at = _column(batch, "at", row)
                 if len(at):
                     counts[grams.by_hash()[at]] += _column(batch, "others", row)
+                del at, grams.hashes, grams.counts
                 scores = [
                     _log_score([e[a:b] for e in grams.ending], counts, total, how) if b > a else None
                     for a, b in zip(bounds[:-1], bounds[1:])
