@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tarnsearch.operators import blockmax, bm25
@@ -39,6 +40,23 @@ def test_equals_the_search_by_rows(frame, size, max_rows):
     assert rows(bm25.best_chunks(counted, asked, terms, totals, 5, max_rows=max_rows)) == expected
 
 
+def test_memory_of_a_reader_is_bounded(frame):
+    """A block ends at so many postings, and a row group holds so many blocks: a reader has its arrays at once."""
+    chunks = frame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9000)], CHUNK).coalesce(1)
+    (written,) = blockmax.stored_blocks(chunks).inputFiles()
+    groups = pq.ParquetFile(written.removeprefix("file://")).metadata
+    assert groups.num_rows == 36 and max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 8
+    chunks = chunks.where("chunk_id < 600")
+    small = blockmax.block_postings(chunks, max_postings=200).collect()
+    assert {len(b.places) for b in small} == {200} and {len(b.chunk_ids) for b in small} == {10}
+    questions = frame([(i, f"w{i}x1 w{i + 1}x2") for i in range(10)], ASKED)
+    counted = bm25.postings(chunks)
+    terms = bm25.term_stats(counted)
+    totals = bm25.corpus_totals(chunks, terms).first()
+    expected = rows(bm25.topk(bm25.score(counted, bm25.query_terms(questions), terms, totals), 5))
+    assert rows(bm25.search(chunks, questions, 5)) == expected
+
+
 def test_lists_that_cannot_matter_are_not_read(frame):
     """Few long chunks hold the rare word often; blocks without it are skipped once k hits are held."""
     chunks = [(i, "rare rare rare common") for i in range(20)] + [(i, "common " + f"x{i} " * 30) for i in range(20, 2000)]
