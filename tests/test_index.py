@@ -1,5 +1,8 @@
+import shutil
+
 import pytest
 
+from checks.freshness import _stream
 from tarnsearch.operators import bm25
 from tarnsearch.operators.dense import checked_rows
 from tarnsearch.operators.embedding import hash_embedder
@@ -167,6 +170,19 @@ def test_streams_equal_batch(spark, frame, settings):
     assert hits(spark.read.parquet(output)) == hits(retrieve(streamed.corpus(EMBEDDER), questions))
 
 
+def test_stream_of_a_table_in_one_file_or_many(spark, frame):
+    folder = work_folder(spark, "tables")
+    frame(BEFORE, DOC).repartition(3).write.parquet(f"{folder}/many.parquet")
+    frame(BEFORE, DOC).coalesce(1).write.parquet(f"{folder}/part")
+    (part,) = spark.read.parquet(f"{folder}/part").inputFiles()
+    shutil.copy(part.removeprefix("file://"), f"{folder}/one.parquet")
+    for name in ("one", "many"):
+        out = work_folder(spark, "streamed")
+        stream = _stream(spark, folder, name).writeStream.option("checkpointLocation", work_folder(spark, "checkpoint"))
+        stream.trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == BEFORE
+
+
 def test_a_batch_delivered_twice_is_taken_once(spark, frame, settings):
     root = work_folder(spark, "test-index")
     docs = work_folder(spark, "incoming")
