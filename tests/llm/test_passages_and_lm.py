@@ -105,6 +105,18 @@ def test_recall_of_fuzzy_passages(docs, replaced):
     assert len(truth) > 60 and len(found & truth) >= 0.9 * len(truth), (len(found & truth), len(truth))
 
 
+def test_no_passage_is_left_to_chance(docs):
+    """Passages of 50 words with every fifth replaced share no run longer than four words but the last of five."""
+    rows = []
+    for n in range(60):
+        passage = prose(7000 + n, 50).split()
+        other = [f"x{n}y{i}" if i % 5 == 4 and i < 49 else w for i, w in enumerate(passage)]
+        rows.append(row(2 * n, " ".join([prose(1000 + n, 60), *passage, prose(2000 + n, 60)])))
+        rows.append(row(2 * n + 1, " ".join([prose(3000 + n, 60), *other, prose(4000 + n, 60)])))
+    found = {(r.doc_id, r.match_id) for r in shared_passages(docs(rows)).collect()}
+    assert found >= {(2 * n + 1, 2 * n) for n in range(60)}
+
+
 def brute_lm(rows, order=2):
     """Each word's score by its longest history that other documents have before it, from plain counts."""
     texts = [(r[1] or "").encode().lower().split() for r in rows]
