@@ -1,12 +1,14 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.splitting import split_text
+from tarnsearch.operators import chunking
 from tarnsearch.operators.chunking import number_chunks, pieces, split_documents
 from tarnsearch.params import SEPARATORS
 from tarnsearch.sources.files import load_documents
@@ -19,6 +21,16 @@ def test_characters():
     assert split_text("abcdefghijklmnop", 10, 4, ("",)) == ["abcdefghij", "ghijklmnop"]
 
 
+def test_texts_of_a_batch_are_split_in_parts(frame):
+    texts = [None, "", *(f"aaa bbb {i}" for i in range(998))]
+    parts = list(chunking._splitter(8, 0, SEPARATORS)(iter([pa.array(texts)])))
+    assert max(map(len, parts)) <= 256
+    expected = [None if t is None else split_text(t, 8, 0, SEPARATORS) for t in texts]
+    assert [row for part in parts for row in part.to_pylist()] == expected
+    df = frame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r.p for r in df.select("doc_id", pieces("text", 8, 0).alias("p")).orderBy("doc_id").collect()] == expected
+
+
 def test_paragraphs_stay_whole():
     text = "aaa bbb\n\nccc ddd\n\neee"
     assert split_text(text, 12, 0, SEPARATORS) == ["aaa bbb", "ccc ddd", "eee"]
