@@ -52,6 +52,15 @@ def tables(frame):
     return chunks, questions, counted, terms, bm25.corpus_totals(chunks, terms).first()
 
 
+def test_terms_of_a_batch_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(bm25, "PART_POSTINGS", 5)
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in CHUNKS] + [7], "text": [t for _, t in CHUNKS] + [None]})
+    parts = list(bm25._term_rows(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) <= 5 + 5
+    found = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert found == [(i, len(tokenize(t)), term, n) for i, t in CHUNKS for term, n in Counter(tokenize(t)).items()]
+
+
 def test_statistics(tables):
     chunks, _, counted, terms, totals = tables
     stats = {r.chunk_id: r.chunk_len for r in bm25.chunk_stats(chunks).collect()}
