@@ -262,8 +262,8 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None, text: str = "tex
     """
     how = how or Backoff()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
-    # Written, because a block is a fact about one run.
-    encoded = materialize_in_buckets(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks", "block")
+    # Written, because a block is a fact about one run; a row group each, because they are read as arrays.
+    encoded = materialize_in_buckets(texts.mapInArrow(_encode(how.block_words), BLOCKS), "blocks", "block", 1)
     total = encoded.agg(F.sum(F.element_at("bounds", -1).cast("bigint"))).first()[0] or 0
     elsewhere = found_elsewhere(encoded, how.order, total)
     return (

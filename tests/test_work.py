@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 
 from tarnsearch.plans import work
@@ -33,3 +34,12 @@ def test_fits(frame):
 def test_materialize(frame):
     rows = frame([(1, ["a"]), (2, None)], "i int, a array<string>")
     assert sorted(work.materialize(rows, "test").collect()) == sorted(rows.collect())
+
+
+def test_buckets_with_a_bounded_row_group(frame):
+    rows = frame([(1, [i]) for i in range(5)], "b int, a array<int>").coalesce(1)
+    written = work.materialize_in_buckets(rows, "test", "b", 2)
+    assert sorted(written.collect()) == sorted(rows.collect())
+    (file,) = written.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert [groups.row_group(i).num_rows for i in range(groups.num_row_groups)] == [2, 2, 1]
