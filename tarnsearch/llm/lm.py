@@ -181,9 +181,18 @@ def _part_bits(total: int) -> int:
     return max(LEAST_PART_BITS, (total // PART_WORDS).bit_length())
 
 
+# From here on a count goes beside the short ones, as a long.
+LARGE = (1 << 15) - 1
+
+
 def found_elsewhere(encoded: DataFrame, order: int, total: int) -> DataFrame:
-    """Per block two arrays: numbers of its n-grams in the order of their hashes, and how often the other
-    blocks have each; only n-grams that some other block has."""
+    """Per block: numbers of its n-grams in the order of their hashes, and how often the other blocks have each;
+    only n-grams that some other block has.
+
+    Numbers are ``high * 65,536 + low + 32,768``, in two arrays of short integers: numbers from one part nearly always
+    share ``high``, which then is squeezed to nothing on its way. ``others`` are short too; where one is ``LARGE``,
+    the next of ``large`` stands for it.
+    """
     exploded = (
         encoded.select("block", "bounds", "numbers", "words")
         .mapInArrow(_pieces(order, _part_bits(total)), PIECES)
@@ -193,14 +202,30 @@ def found_elsewhere(encoded: DataFrame, order: int, total: int) -> DataFrame:
     )
     # The hash comes first, so that rows are sorted by whole numbers; the part is what they are dealt by.
     everywhere = F.sum("counts").over(Window.partitionBy("hashes", "part"))
+    others, at = F.col("others"), F.col("at")
     return (
         exploded.withColumn("others", everywhere - F.col("counts"))
         .filter("others > 0")
+        .select(
+            "block",
+            F.shiftright(at, 16).cast("smallint").alias("high"),
+            (at.bitwiseAND(0xFFFF) - (1 << 15)).cast("smallint").alias("low"),
+            F.least(others, F.lit(LARGE)).cast("smallint").alias("others"),
+            F.when(others >= LARGE, others).alias("large"),
+        )
         .groupBy("block")
-        .agg(F.collect_list("at").alias("at"), F.collect_list("others").alias("others"))
+        # Nulls are left out of a list; all four meet the rows in the same order.
+        .agg(*(F.collect_list(c).alias(c) for c in ("high", "low", "others", "large")))
     )
 
 
+def _answers(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``found_elsewhere`` says of a block: numbers and counts."""
+    high, low, others, large = (_column(batch, name, row).astype(np.int64) for name in ("high", "low", "others", "large"))
+    others[others == LARGE] = large
+    return (high << 16) + low + (1 << 15), others
+
+
 SCORES = "doc_id bigint, n_words bigint, log_score double"
 
 
@@ -230,10 +255,10 @@ def _scored(how: Backoff, total: int):
             for row, ids in enumerate(batch.column("ids")):
                 bounds, grams = _block_ngrams(batch, row, how.order)
                 counts = grams.counts.astype(np.int64)
-                at = _column(batch, "at", row)
+                at, others = _answers(batch, row)
                 if len(at):
-                    counts[grams.by_hash()[at]] += _column(batch, "others", row)
-                del at, grams.hashes, grams.counts
+                    counts[grams.by_hash()[at]] += others
+                del at, others, grams.hashes, grams.counts
                 scores = [
                     _log_score([e[a:b] for e in grams.ending], counts, total, how) if b > a else None
                     for a, b in zip(bounds[:-1], bounds[1:])

@@ -5,6 +5,7 @@ from itertools import accumulate
 
 import pytest
 
+from tarnsearch.llm import lm
 from tarnsearch.llm.lm import Backoff, backoff_scores
 from tarnsearch.llm.passages import Passages, chains, shared_passages, stretches
 from tests.llm.conftest import ODD, prose, row
@@ -175,3 +176,13 @@ def test_a_word_in_every_one_of_many_blocks(docs):
 def test_scores_check_their_settings():
     with pytest.raises(ValueError):
         Backoff(order=0)
+
+
+def test_answers_are_short_and_lose_no_count(spark, docs):
+    answers = lm.found_elsewhere(spark.createDataFrame([], lm.BLOCKS), 2, 0)
+    assert [t for _, t in answers.drop("block", "large").dtypes] == 3 * ["array<smallint>"]
+    rows = docs([row(1, "a " * 40_000 + "b"), row(2, "b a b"), row(3, "a b a a " * 9000), row(4, prose(5, 90_000))])
+    blocks, one = rows.repartition(4, "doc_id"), rows.coalesce(1)
+    scores = [{r.doc_id: (r.n_words, r.log_score) for r in backoff_scores(frame).collect()} for frame in (blocks, one)]
+    for doc_id, (n_words, score) in scores[0].items():
+        assert scores[1][doc_id] == (n_words, pytest.approx(score))
