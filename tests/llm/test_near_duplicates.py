@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from tarnsearch.llm import neardup
 from tarnsearch.llm.graph import components
 from tarnsearch.llm.neardup import NearDup, keep_one_of_each, near_duplicates, shingle_set, signatures
 from tarnsearch.llm.text import PLAIN, SPACED, blocks, distinct, word_hashes
@@ -88,3 +89,15 @@ def test_signatures_estimate_similarity():
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
     rows = signatures([distinct(np.concatenate([common, x])) for x in (a, b)], 512)
     assert abs((rows[0] == rows[1]).mean() - 0.8) < 0.08
+
+
+def test_texts_lie_in_buckets_and_are_not_shuffled_for_pairs(docs, monkeypatch, capsys):
+    in_buckets, tables = neardup.materialize_in_buckets, {}
+    monkeypatch.setattr(neardup, "materialize_in_buckets", lambda frame, label, key: tables.setdefault(label, in_buckets(frame, label, key)))
+    words = prose(3, 200)
+    found = near_duplicates(docs([row(1, words), row(2, words + " more"), row(2, "other"), row(3, prose(4, 200))])).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 3)}
+    pairs = tables["texts"].sparkSession.range(100_000).selectExpr("id AS a", "id + 1 AS b")
+    capsys.readouterr()
+    pairs.hint("merge").join(tables["texts"].withColumnRenamed("id", "a"), "a").explain("simple")
+    assert capsys.readouterr().out.count("Exchange") == 1
