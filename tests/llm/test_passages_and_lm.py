@@ -5,7 +5,7 @@ from itertools import accumulate
 
 import pytest
 
-from tarnsearch.llm import lm
+from tarnsearch.llm import lm, passages
 from tarnsearch.llm.lm import Backoff, backoff_scores
 from tarnsearch.llm.passages import Passages, chains, shared_passages, stretches
 from tests.llm.conftest import ODD, prose, row
@@ -178,6 +178,24 @@ def test_scores_check_their_settings():
         Backoff(order=0)
 
 
+def test_seeds_are_made_and_shuffled_once(docs, monkeypatch, capsys):
+    written = []
+
+    def keep(frame, label):
+        written.append(frame)
+        return materialize(frame, label)
+
+    materialize = passages.materialize
+    monkeypatch.setattr(passages, "materialize", keep)
+    text = prose(7, 80)
+    found = shared_passages(docs([row(3, text), row(1, "x " + text), row(2, text + " y"), row(2, text), row(None, text)]))
+    assert {(r.doc_id, r.match_id, r.n_words) for r in found.collect()} == {(2, 1, 80), (3, 1, 80)}
+    capsys.readouterr()
+    written[0].explain("simple")
+    # One that makes seeds, one that chains them.
+    assert capsys.readouterr().out.count("MapInArrow") == 2
+
+
 def test_answers_are_short_and_lose_no_count(spark, docs):
     answers = lm.found_elsewhere(spark.createDataFrame([], lm.BLOCKS), 2, 0)
     assert [t for _, t in answers.drop("block", "large").dtypes] == 3 * ["array<smallint>"]
