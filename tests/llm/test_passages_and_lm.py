@@ -3,11 +3,12 @@ import random
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pytest
 
 from tarnsearch.llm import lm, passages
 from tarnsearch.llm.lm import Backoff, backoff_scores
-from tarnsearch.llm.passages import Passages, chains, shared_passages, stretches
+from tarnsearch.llm.passages import Passages, aligned, chains, may_match, shared_passages, stretches
 from tests.llm.conftest import ODD, prose, row
 
 
@@ -204,3 +205,63 @@ def test_answers_are_short_and_lose_no_count(spark, docs):
     scores = [{r.doc_id: (r.n_words, r.log_score) for r in backoff_scores(frame).collect()} for frame in (blocks, one)]
     for doc_id, (n_words, score) in scores[0].items():
         assert scores[1][doc_id] == (n_words, pytest.approx(score))
+
+
+def test_seeds_cross_the_network_packed(docs, monkeypatch):
+    """A row per part each time a task hands on its seeds, not one per seed."""
+    monkeypatch.setattr(passages, "HELD_SEEDS", 5000)
+    rows = docs([row(i, " ".join(f"w{i}x{j}" for j in range(700))) for i in range(40)]).coalesce(1)
+    texts = rows.selectExpr("doc_id as id", "cast(text as binary) as text")
+    bits = passages._part_bits(rows.sparkSession)
+    found = texts.mapInArrow(passages._seeds(Passages(), bits), passages._packing(3)).collect()
+    assert 256 <= len(found) <= 8 * 256 and sum(r.n for r in found) == 40 * 697
+
+
+def test_packed_columns_come_back():
+    dice = np.random.default_rng(1)
+    parts = np.sort(dice.integers(0, 9, 500)).astype(np.uint32)
+    columns = [dice.integers(-(2**63), 2**63 - 1, 500), dice.integers(0, 9, 500)]
+    packed = passages._packed(parts, *columns)
+    assert packed.num_rows == len(set(parts.tolist())) and packed.column("n").to_pylist() == np.unique(parts, return_counts=True)[1].tolist()
+    batches = [packed.slice(0, 4), packed.slice(4)]
+    tables = list(passages._by_part(iter([packed.slice(0, 3), packed.slice(2, 1), packed.slice(3)])))
+    assert [t.num_rows for t in tables] == [1, 1, 2] + [1] * (packed.num_rows - 3)
+    back = passages._unpacked(passages.pa.Table.from_batches(batches))
+    assert all((a == b).all() for a, b in zip(back, columns))
+    none = np.empty(0, np.int64)
+    assert passages._packed(none, none, none).num_rows == 0
+
+
+def test_one_chain_is_what_chains_finds():
+    dice = random.Random(8)
+    whole = 0
+    for _ in range(400):
+        n, step = dice.randint(2, 9), dice.choice([3, 40, 300])
+        a = [sum(dice.randint(1, step) for _ in range(i + 1)) for i in range(n)]
+        a = sorted(set(a))
+        b = sorted(dice.sample(range(step * 10), len(a))) if dice.random() < 0.8 else dice.sample(range(step * 10), len(a))
+        seeds = list(zip(a, b))
+        one = passages._one_chain(np.array([0]), np.array(a), np.array(b), 0.002)[0]
+        if one and len(a) > 1:
+            whole += 1
+            assert chains(seeds, 0.002) == [seeds]
+    assert whole > 100
+
+
+def test_no_match_is_lost_before_it_is_aligned():
+    dice = random.Random(6)
+    matches = 0
+    for _ in range(600):
+        words = dice.choice([30, 3000])
+        a = [dice.randrange(words) for _ in range(90)]
+        b = [x if dice.random() < dice.choice([0.7, 0.9]) else dice.randrange(words) for x in a]
+        if dice.random() < 0.5:
+            b = b[dice.randint(0, 9) :]
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        places = [(i, j) for i in range(40, 45) for j in range(len(b)) if a[i] == b[j]][:1]
+        found = bool(places and stretches(aligned(a, b, places, 200), 50, 80))
+        matches += found
+        assert may_match(a, b, 50, 80) or not found
+    assert matches > 100
+    assert not may_match(np.arange(90, dtype=np.uint64), np.arange(85, 200, dtype=np.uint64), 50, 80)
+    assert not may_match(np.empty(0, np.uint64), np.empty(0, np.uint64), 50, 80)
