@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnsearch.functions.topk import ProductTopK, RunningTopK, round_half_up
-from tarnsearch.operators import dense
+from tarnsearch.operators import dense, embedding
 from tarnsearch.operators.merge import merge_best
 from tarnsearch.operators.approximate import lsh_topk
 from tarnsearch.operators.embedding import Embedder, embed, hash_embedder
@@ -193,3 +194,32 @@ def test_embedding_job(frame):
     wrong = Embedder("wrong", 4, lambda: lambda batch: np.zeros((len(batch), 5)))
     with pytest.raises(Exception, match="expected"):
         embed(texts, wrong).collect()
+
+
+def test_vectors_are_handed_on_before_a_whole_batch_is_encoded(monkeypatch):
+    """An Arrow batch may hold 10,000 texts; their strings and vectors are never held at once."""
+    monkeypatch.setattr(embedding, "HELD_TEXTS", 64)
+    seen = []
+
+    def load():
+        def encode(texts):
+            seen.append(len(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    texts = ["x" * (i % 7) if i % 5 else None for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["id", "text"])
+    found = embedding._vectors(iter([batch.slice(0, 0), batch]), Embedder("lengths", 2, load, False), "id", 30)
+    first = next(found)
+    assert first.num_rows == 60 and seen == [30, 30]
+    rows = first.to_pylist() + [r for part in found for r in part.to_pylist()]
+    assert rows == [{"id": i, "embedding": [float(len(t or "")), 1.0]} for i, t in enumerate(texts)]
+    assert max(seen) == 30
+
+
+def test_the_stand_in_forgets_terms_and_gives_the_same_vectors(monkeypatch):
+    texts = [" ".join(f"w{i * j % 50}" for j in range(20)) for i in range(30)]
+    whole = hash_embedder(16).load()(texts)
+    monkeypatch.setattr(embedding, "HELD_TERMS", 3)
+    assert (hash_embedder(16).load()(texts) == whole).all()
