@@ -57,6 +57,21 @@ def test_memory_of_a_reader_is_bounded(frame):
     assert rows(bm25.search(chunks, questions, 5)) == expected
 
 
+def test_a_reader_holds_one_block(frame):
+    chunks = frame([(i, f"w{i} w{i} both") for i in range(1000)], CHUNK).coalesce(1)
+    (written,) = blockmax.stored_blocks(chunks).inputFiles()
+    groups = pq.ParquetFile(written.removeprefix("file://")).metadata
+    assert [groups.row_group(i).num_rows for i in range(groups.num_row_groups)] == [1, 1, 1, 1]
+
+
+def test_terms_are_counted_without_their_lists(frame):
+    chunks = frame([(i, "a a b" if i % 2 else None) for i in range(600)] + [(700, "c c c")], CHUNK).coalesce(1)
+    terms = blockmax.block_terms(blockmax.stored_blocks(chunks))
+    assert sorted(tuple(r) for r in terms.collect()) == [("a", 300, 600), ("b", 300, 300), ("c", 1, 3)]
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "cfs" in plan and "tfs" not in plan and "places" not in plan
+
+
 def test_lists_that_cannot_matter_are_not_read(frame):
     """Few long chunks hold the rare word often; blocks without it are skipped once k hits are held."""
     chunks = [(i, "rare rare rare common") for i in range(20)] + [(i, "common " + f"x{i} " * 30) for i in range(20, 2000)]
