@@ -265,3 +265,59 @@ def test_no_match_is_lost_before_it_is_aligned():
     assert matches > 100
     assert not may_match(np.arange(90, dtype=np.uint64), np.arange(85, 200, dtype=np.uint64), 50, 80)
     assert not may_match(np.empty(0, np.uint64), np.empty(0, np.uint64), 50, 80)
+
+
+def test_a_passage_whose_seeds_have_other_first_documents(docs):
+    """Two documents share a passage of which every four words are in an earlier document of their own."""
+    passage = prose(31, 60).split()
+    earlier = [row(i, f"a{i} b{i} " + " ".join(passage[i : i + 4]) + f" c{i} d{i}") for i in range(57)]
+    rows = earlier + [row(100 + i, " ".join([prose(40 + i, 70), *passage, prose(50 + i, 70)])) for i in range(2)]
+    found = shared_passages(docs(rows)).collect()
+    assert {(r.doc_id, r.match_id) for r in found} == {(101, 100)} and found[0].n_words >= 60
+
+
+def test_a_passage_of_frequent_seeds_with_other_first_documents(docs):
+    """As before, with every four words in more documents than all meet."""
+    passage = prose(61, 60).split()
+    earlier = [
+        row(100 * k + i, f"a{i}k{k} b{i} " + " ".join(passage[i : i + 4]) + f" c{i} d{i}k{k}") for k in range(12) for i in range(57)
+    ]
+    rows = earlier + [row(9000 + i, " ".join([prose(70 + i, 70), *passage, prose(80 + i, 70)])) for i in range(2)]
+    assert {(r.doc_id, r.match_id) for r in shared_passages(docs(rows)).collect()} == {(9001, 9000)}
+
+
+def test_a_passage_is_found_at_each_of_its_places(docs):
+    passage = prose(91, 60)
+    twice = " ".join([passage, prose(92, 400), passage, prose(93, 300)])
+    found = shared_passages(docs([row(1, prose(94, 80) + " " + passage), row(2, twice)])).collect()
+    second = len(passage) + len(prose(92, 400)) + 2
+    assert {(r.doc_id, r.match_id) for r in found} == {(2, 1)}
+    for start in (0, second):
+        assert any(r.start <= start and r.end >= start + len(passage) and r.n_words >= 60 for r in found)
+
+
+def test_a_passage_whose_words_stand_apart_before_it(docs):
+    """The earlier text has its pieces first, far from each other; the passage is whole at the end only."""
+    passage = prose(95, 60).split()
+    pieces = [w for i in range(0, 60, 6) for w in (*passage[max(0, i - 3) : i + 9], prose(200 + i, 260))]
+    rows = [row(1, " ".join([*pieces, *passage])), row(2, " ".join([prose(96, 90), *passage, prose(97, 90)]))]
+    found = [r for r in shared_passages(docs(rows)).collect() if r.n_words >= 60]
+    assert {(r.doc_id, r.match_id) for r in found} == {(2, 1)} and all(r.match_end == len(rows[0][1]) for r in found)
+
+
+def test_one_word_over_and_over(docs):
+    found = shared_passages(docs([row(1, "x " * 300), row(2, "y " * 90), row(3, "a b x" + " x" * 500)])).collect()
+    assert {(r.doc_id, r.match_id) for r in found} == {(3, 1)} and max(r.n_words for r in found) >= 300
+
+
+def test_crowded_places_equal_brute_force():
+    dice = random.Random(12)
+    for _ in range(50):
+        places = sorted({(dice.randrange(3), dice.randrange(900)) for _ in range(dice.randint(1, 120))})
+        rarity = [dice.randrange(30) for _ in places]
+        ids, at = (np.array(c) for c in zip(*places))
+        brute = [
+            sum(i != j and d == e and abs(p - q) <= 100 and rarity[j] >= rarity[i] for j, (e, q) in enumerate(places)) >= passages.CROWD
+            for i, (d, p) in enumerate(places)
+        ]
+        assert passages._crowded(ids, at, np.array(rarity), 100).tolist() == brute
